@@ -1,7 +1,7 @@
 """SimHash near-duplicates by segment-popcount embedding.
 
-Each distinct 64-bit fingerprint is mapped to the bit counts of its 16 segments
-of 4 bits.  The Manhattan distance of two such points is a lower bound of the
+Each distinct 64-bit fingerprint is mapped to the bit counts of its 32 segments
+of 2 bits.  The Manhattan distance of two such points is a lower bound of the
 Hamming distance, so linked fingerprints meet in the grid: points at distance
 2 or less share a grid point that is at distance 1 or less from both.  Only
 fingerprints that meet another one there go on to the exact check, which asks
@@ -26,7 +26,6 @@ from quire.llm.components import components
 
 SHINGLE = 3
 SEED = 42
-SEGMENTS, WIDTH = 16, 4
 #: shingles whose bits are counted at a time
 BLOCK = 65_536
 
@@ -63,24 +62,29 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return map_text(docs, key, text, one, [("fp", "long")])
 
 
-def _grid_points(fp):
-    """The fingerprint's own grid point and those one step away, packed with 3 bits for each segment's count."""
-    counts = [F.bit_count(F.shiftrightunsigned(fp, i * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1))).cast("long") for i in range(SEGMENTS)]
-    own = counts[0]
-    for i in range(1, SEGMENTS):
-        own = own + F.shiftleft(counts[i], 3 * i)
-    return own, counts
+def _signed(bits: int):
+    return F.lit(bits - (1 << 64) if bits >> 63 else bits).cast("long")
+
+
+def grid_point(fp):
+    """Counts of set bits, 0 to 2, in each pair of bits, in that pair's place."""
+    high = F.shiftrightunsigned(fp, 1).bitwiseAND(_signed(0x5555555555555555))
+    low = fp.bitwiseAND(_signed(0x5555555555555555))
+    return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """a, b: enough links between fingerprints at 2 or fewer differing bits to connect all that are linked."""
-    own, counts = _grid_points(F.col("fp"))
-    placed = distinct.select("fp", own.alias("own"))
-    steps = F.array(F.lit(0).cast("long"), *[F.lit(s << (3 * i)).cast("long") for i in range(SEGMENTS) for s in (1, -1)])
-    near = placed.select("fp", F.explode(F.transform(steps, lambda s: F.col("own") + s)).alias("cell"))
+    own = F.col("own")
+    pairs = F.array(*[_signed(1 << 2 * i) for i in range(32)])
+    full = lambda s: s.bitwiseOR(F.shiftleft(s, 1))
+    # 0 and 1 change into each other by the low bit, 1 and 2 by both bits
+    low = F.transform(F.filter(pairs, lambda s: own.bitwiseAND(F.shiftleft(s, 1)) == 0), lambda s: own.bitwiseXOR(s))
+    high = F.transform(F.filter(pairs, lambda s: own.bitwiseAND(full(s)) != 0), lambda s: own.bitwiseXOR(full(s)))
+    near = distinct.select("fp", grid_point(F.col("fp")).alias("own")).select("fp", F.explode(F.concat(F.array(own), low, high)).alias("cell"))
     shared = near.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
     met = near.join(shared, "cell", "left_semi").select("fp").distinct()
-    flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i).cast("long") for i in range(64)])
+    flips = F.array(F.lit(0).cast("long"), *[_signed(1 << i) for i in range(64)])
     values = met.select("fp", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("value"))
     group = values.groupBy("value").agg(F.collect_set("fp").alias("near")).where("size(near) > 1")  # 65 at most
     return group.select(F.array_min("near").alias("a"), F.explode("near").alias("b")).where("a <> b").distinct()
