@@ -42,11 +42,9 @@ _REFERENCE = r"\"\\$result:([^\"\\\\]+)\""
 
 
 def quote(text: Column) -> Column:
-    """A JSON string with the escapes that JSON demands and no others."""
-    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    for code in range(32):
-        out = F.replace(out, F.lit(chr(code)), F.lit({8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}.get(code, f"\\u{code:04x}")))
-    return F.concat(F.lit('"'), out, F.lit('"'))
+    """A JSON string with the escapes that JSON demands and no others; null for null."""
+    written = F.to_json(F.struct(text.alias("t")))  # {"t":"..."}
+    return F.when(text.isNotNull(), F.substring(written, F.lit(6), F.length(written) - 6))
 
 
 def _valid(name: Column, arguments: Column, schemas: dict) -> Column:
@@ -123,7 +121,8 @@ def link(conversations: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     turns = turns.withColumn("row", F.xxhash64("conv_id", "turn", "role", "text"))
     special = turns.where("role = 'tool' OR role = 'assistant' AND instr(text, '<tool_call>') > 0").select("conv_id").distinct()
     plain = turns.join(special, turns["conv_id"].eqNullSafe(special["conv_id"]), "left_anti")
-    calls, results = (a.unionByName(b) for a, b in zip(_explicit(turns, schemas), _implicit(plain)))
+    # written once: what follows reads them several times
+    calls, results = (cut(a.unionByName(b)) for a, b in zip(_explicit(turns, schemas), _implicit(plain)))
     first_call, first_result, levels = _first(calls), _first(results), _levels(calls)
     key = ["conv_id", "id"]
     c = calls.join(first_call.select(*key, F.col("first").alias("call")), key, "left").join(first_result.select(*key, F.col("first").alias("result")), key, "left").join(levels, key, "left")

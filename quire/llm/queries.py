@@ -62,7 +62,7 @@ def queries() -> dict:
 def _quote_sql(column: str) -> str:
     out = f"replace(replace({column}, '\\', '\\\\'), '\"', '\\\"')"
     for code in range(1, 32):
-        out = f"replace({out}, chr({code}), '{ {8: chr(92) + 'b', 9: chr(92) + 't', 10: chr(92) + 'n', 12: chr(92) + 'f', 13: chr(92) + 'r'}.get(code, chr(92) + f'u{code:04x}') }')"
+        out = f"replace({out}, chr({code}), '{ {8: chr(92) + 'b', 9: chr(92) + 't', 10: chr(92) + 'n', 12: chr(92) + 'f', 13: chr(92) + 'r'}.get(code, chr(92) + f'u{code:04X}') }')"
     return f"'\"' || {out} || '\"'"
 
 
