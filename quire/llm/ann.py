@@ -23,12 +23,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LINES = 96
+LINES = 64
 ALPHA = 0.6
 #: first half-width of a window, relative to the common length, and how it grows
-START, GROW = 0.8, 1.15
+START, GROW = 1.0, 1.08
 #: share of a block that must collide often enough before windows stop growing
-ENOUGH = 0.25
+ENOUGH = 0.2
+#: and this many times k at least, which matters in small blocks
+FLOOR = 8
 ROWS, QUERIES = 8192, 4096
 
 
@@ -42,32 +44,46 @@ class Block:
         added = np.sqrt(np.maximum(0.0, self.length**2 - squares))
         self.axes = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, lines))
         flat = vectors @ self.axes[:-1] + added[:, None] * self.axes[-1]
-        self.order = np.ascontiguousarray(np.argsort(flat, axis=0, kind="stable").T.astype(np.int32))
-        self.sorted = np.ascontiguousarray(np.sort(flat, axis=0).T)
+        self.order = np.ascontiguousarray(np.argsort(flat, axis=0, kind="stable").T)
+        self.sorted = np.ascontiguousarray(np.take_along_axis(flat.T, self.order, axis=1))
+
+    def _windows(self, centres: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+        """(low, high), each queries by lines: the windows' ends in the sorted arrays."""
+        low = np.stack([np.searchsorted(s, c - width, "left") for s, c in zip(self.sorted, centres.T)], axis=1)
+        high = np.stack([np.searchsorted(s, c + width, "right") for s, c in zip(self.sorted, centres.T)], axis=1)
+        return low, high
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int):
         """For each query the positions and products of its k best rows: best first, ties to the smaller id."""
         n, lines = len(self.ids), len(self.order)
-        need, often = min(n, k + 1 + int(ENOUGH * n)), ALPHA * lines
+        need, often = min(n, FLOOR * k + 1 + int(ENOUGH * n)), ALPHA * lines
         scaled = queries * (self.length / np.sqrt((queries * queries).sum(axis=1)))[:, None]
         centres = scaled @ self.axes[:-1]
+        spread = np.abs(self.sorted[:, [0, -1]]).max() + np.abs(centres).max()
+        widths = [START * self.length]
+        while widths[-1] < spread:
+            widths.append(widths[-1] * GROW)
+        ends: list = []  # of all queries, for the widths that any has needed
         for q in range(len(queries)):
-            width = START * self.length
-            counts, low, high = None, None, None
-            while True:
-                a = np.array([np.searchsorted(s, c - width, "left") for s, c in zip(self.sorted, centres[q])])
-                b = np.array([np.searchsorted(s, c + width, "right") for s, c in zip(self.sorted, centres[q])])
+            counts = low = high = None
+            for level in range(len(widths)):
+                if level == len(ends):
+                    ends.append([x.tolist() for x in self._windows(centres, widths[level])])
+                a, b = ends[level][0][q], ends[level][1][q]
                 if counts is None:
-                    rings = [o[i:j] for o, i, j in zip(self.order, a, b)]
+                    counts = np.bincount(np.concatenate([o[i:j] for o, i, j in zip(self.order, a, b)]), minlength=n)
                 else:  # only what the wider windows add
                     rings = [o[i:j] for o, i, j in zip(self.order, a, low)] + [o[i:j] for o, i, j in zip(self.order, high, b)]
-                more = np.bincount(np.concatenate(rings), minlength=n)
-                counts = more if counts is None else counts + more
+                    counts += np.bincount(np.concatenate(rings), minlength=n)
                 near = np.flatnonzero(counts >= often)
-                if len(near) >= need or (a == 0).all() and (b == n).all():
+                if len(near) >= need:
                     break
-                low, high, width = a, b, width * GROW
+                low, high = a, b
             near = near[self.ids[near] != own[q]]
+            if len(near) > k:  # a fast product leaves what may be among the best; its rounding is far below the margin
+                rough = self.vectors.take(near, axis=0) @ queries[q]
+                edge = np.partition(rough, len(rough) - k)[len(rough) - k]
+                near = near[rough >= edge - 1e-9 * max(1.0, abs(edge))]
             products = (self.vectors[near] * queries[q]).sum(axis=1)
             best = np.lexsort((self.ids[near], -products))[:k]
             yield near[best], products[best]
