@@ -166,4 +166,4 @@ def digest(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, with all columns, that are not contaminated."""
     bad = by_document(hits(docs, items, key, text)).where(_is_bad(F.col("n_hit"), F.col("n_words"))).select(F.col("key").alias("_bad"), F.col("text_hash").alias("_hash"))
-    return docs.join(bad, (F.xxhash64(docs[text]) == F.col("_hash")) & docs[key].eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, (F.xxhash64(docs[text]) == bad["_hash"]) & docs[key].eqNullSafe(bad["_bad"]), "left_anti")

@@ -249,7 +249,10 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", label: st
 
 
 def keep_known(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", floor: float = 0.35) -> DataFrame:
-    """The documents, with all columns, whose language is found with a score of ``floor`` or more."""
+    """The documents, with all columns, whose language is found with a score of ``floor`` or more.
+
+    If nothing could be learned, every document with a letter stays.
+    """
     model = train(docs, key, text, label)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -261,7 +264,7 @@ def keep_known(docs: DataFrame, key: str = "doc_id", text: str = "text", label:
         values = [t if t is not None and has_letters(t) else "" for t in texts]
         for at in range(0, len(values), 1000):
             part = values[at : at + 1000]
-            out.append(pooled(net, part).max(axis=1) if net is not None else np.zeros(len(part)))
+            out.append(pooled(net, part).max(axis=1) if net is not None else np.array([float(bool(t)) for t in part]))
         return pd.Series(np.concatenate(out) if out else [], dtype="float64")
 
     return docs.where(score(F.col(text)) >= floor)
