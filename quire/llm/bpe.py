@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 
 #: pieces above this many bytes are merged by a heap
 LONG = 256
-#: pieces in one recursive query
-CHUNK = 100_000
+#: pieces in one recursive query, which holds the rows of all its rounds
+CHUNK = 25_000
 #: pieces that a worker remembers; more clear its memory
 MEMO = 600_000
 
