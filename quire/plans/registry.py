@@ -1,17 +1,183 @@
-"""The registered queries of the engine and their SQL."""
+"""The registered queries of the engine."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window
 
+from quire.functions import cursor, json_path, text
+from quire.operators import chunks, documents, incremental, positions, retrieval
+from quire.plans.sql import SQL
+from quire.sources.tables import table
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
+THRESHOLD, QUERY = 0.5, "Der thing!"
+CURSOR = cursor.parse("1704200000|50")
+BEFORE = 1_800_000_000
+
+
+def retrieval_topk_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text").withColumn("kind", F.lit("doc"))
+    # places beyond this one have scores below the threshold
+    within = int((1 - THRESHOLD) / retrieval.STEP) + 2
+    rows = retrieval.normalise_rows(docs, "source", "doc_id", {"id": "doc_id", "type": "kind", "text": "text"}, within)
+    return retrieval.retrieve(rows, QUERY, THRESHOLD, 10, 200)
+
+
+def captured_row_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").withColumn("kind", F.lit("order"))
+    rows = retrieval.normalise_rows(orders, "o_custkey", "o_orderkey", {"id": "o_orderkey", "type": "kind", "title": "o_orderpriority", "text": "o_orderstatus"})
+    return retrieval.add_context(rows, "shop", "all orders")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("at", F.unix_seconds(F.col("ts").cast("timestamp")))
+
+
+def incremental_keyset_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.batch(_events(spark, sf_dir).select("event_id", "at"), "at", "event_id", CURSOR, BEFORE)
+
+
+def incremental_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _events(spark, sf_dir)
+    return incremental.metrics(events, F.col("at"), F.col("event_id").cast("string"), F.col("value") >= 100, F.col("event_type"), CURSOR)
+
+
+def latest_per_key_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _events(spark, sf_dir).select("user_id", "event_id", "at", "event_type", "value", "ts")
+    stored, changes = events.where("event_type = 'signup'"), events.where("event_type <> 'signup'")
+    return incremental.upsert(stored, changes, "user_id", "ts", "event_id").drop("ts")
+
+
+def cleanup_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.reconcile(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+def association_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    joined = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    joined = joined.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return joined.select("c_custkey", "c_name", "n_name", "r_name", F.coalesce("n_orders", F.lit(0)).alias("n_orders"), F.coalesce("total", F.lit(0.0)).alias("total"))
+
+
+def json_path_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return events.select("event_id", F.array_join(json_path.values(F.col("props"), "k"), ", ").alias("k"), F.size(json_path.values(F.col("props"), "missing[].name")).alias("n_missing"))
+
+
+def product_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    body = documents.content(F.trim("p_name"), documents.labelled("Product number", F.col("p_partkey").cast("string")), documents.labelled("Manufacturer", F.col("p_brand")), documents.labelled("type", F.col("p_type")))
+    return part.select(F.col("p_partkey").alias("source_id"), F.trim("p_name").alias("title"), documents.product_url("https://shop.example/", "/detail/", F.col("p_partkey")).alias("url"), body.alias("content"), F.sha2(body, 256).alias("content_hash"))
+
+
+def structured_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    pair = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    fields = F.array(pair("Ansprechpartner", F.col("p_name")), pair("Telefon", F.when(F.col("p_size") > 20, F.col("p_brand"))), pair("Mail_Adresse", F.col("p_type")), pair("product_name", F.lit("x")), pair("Bereich", F.when(F.col("p_size") > 30, F.col("p_type"))))
+    return part.select("p_partkey", documents.contact_metadata(fields, F.array("p_brand")).alias("m")).select("p_partkey", "m.*")
+
+
+def text_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.normalise(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = F.array_sort(text.query_terms(F.coalesce("text", F.lit(""))))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(terms).alias("n_terms"), F.array_join(terms, " ").alias("terms"))
+
+
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.collapse(text.strip_tags(F.coalesce("html", F.lit("")))).alias("text"))
+
+
+def chunks_with_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.chunk(table(spark, sf_dir, "documents"))
+
+
+def chunk_line_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return chunks.touched_lines(chunks.chunk(docs).drop("text"), chunks.lines(docs))
+
+
+def nearest_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem")
+    return positions.nearest(items.where("l_returnflag <> 'R'"), items.where("l_returnflag = 'R'"), "l_orderkey", "l_linenumber", "l_quantity", "l_linenumber").withColumnRenamed("at", "l_quantity")
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positions.from_words(table(spark, sf_dir, "documents"))
+
+
+def dedup_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = _entries(spark, sf_dir)
+    twice = entries.unionByName(entries.withColumns({"entry_idx": F.col("entry_idx") + 1000, "x": F.col("x") + 0.001}))
+    return positions.atoms(twice).groupBy("doc_id", "page_no").agg(F.count("*").alias("n"), F.max("entry_idx").alias("last"), F.round(F.sum("centre"), 3).alias("centres"))
+
+
+def overlap_pairs_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = _entries(spark, sf_dir)
+    twice = entries.unionByName(entries.withColumns({"entry_idx": F.col("entry_idx") + 1000, "x": F.col("x") + 2, "text": F.concat("text", F.lit("x"))}))
+    return positions.overlaps(positions.atoms(twice))
+
+
+def _with_footers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    entries = _entries(spark, sf_dir)
+    boxes = entries.select("doc_id", "page_no").distinct().withColumns({"width": F.lit(595.0), "height": F.lit(842.0)})
+    one, zero = F.lit(1.0), F.lit(0.0)
+    line = lambda idx, x, words: boxes.select("doc_id", "page_no", F.lit(idx).alias("entry_idx"), one.alias("a"), zero.alias("b"), zero.alias("c"), one.alias("d"), F.lit(x).alias("x"), F.lit(20.0).alias("y"), words.alias("text"), F.lit(8.0).alias("font_size"))
+    return entries.unionByName(line(5000, 40.0, F.lit("Yearly  Report"))).unionByName(line(5001, 400.0, F.concat(F.lit("leaf "), F.col("page_no").cast("string")))), boxes
+
+
+def repeated_margin_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries, boxes = _with_footers(spark, sf_dir)
+    found = positions.repeated_margins(positions.margin_candidates(entries, boxes), boxes)
+    return found.select("doc_id", "zone", "signature", F.round("x_ratio", 6).alias("x_ratio"), F.round("y_ratio", 6).alias("y_ratio"), "n_pages")
+
+
+def margins_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries, boxes = _with_footers(spark, sf_dir)
+    candidates = positions.margin_candidates(entries, boxes)
+    kept = positions.without_margins(entries, candidates, positions.repeated_margins(candidates, boxes))
+    return kept.groupBy("doc_id", "page_no").agg(F.count("*").alias("n"), F.max("entry_idx").alias("last"))
+
+
+def visual_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positions.rows_of(positions.atoms(_entries(spark, sf_dir))).select("doc_id", "page_no", "row_no", "y", "text", F.size("parts").alias("n_parts"))
+
+
+def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _entries(spark, sf_dir).groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("entry_idx", "text"))).alias("w"))
+    pages = words.select("doc_id", F.col("page_no") + 1, F.array_join(F.transform("w", lambda e: e["text"]), " ").alias("text"), F.concat(F.lit("https://docs.example/"), F.col("doc_id").cast("string"), F.lit("#old")).alias("url")).toDF("doc_id", "page_no", "text", "url")
+    return documents.page_documents(pages)
+
+
+def interval_union_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").alias("start"), (F.col("l_quantity") + F.round(F.col("l_tax") * 100)).alias("stop"))
+    return positions.interval_gaps(spans, "l_orderkey")
+
+
+def upper_median_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = F.lag("at").over(Window.partitionBy("user_id").orderBy("at", "event_id"))
+    gaps = _events(spark, sf_dir).withColumn("gap", F.col("at") - before).where("gap > 0.5")
+    # counting down, the element at half the count is the upper median; buffers hold distinct values only
+    return gaps.groupBy("user_id").agg(F.expr("CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY gap DESC) AS BIGINT)").alias("upper_median"), F.count("*").alias("n"))
+
+
+def greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("v"))
+    found = positions.clusters(F.transform("v", lambda e: e["l_quantity"]), 6.0)
+    return lines.select("l_orderkey", F.posexplode(found).alias("cluster", "c")).select("l_orderkey", "cluster", F.round("c.mean", 6).alias("mean"), "c.n")
+
+
+FLAGSHIP = retrieval_topk_excerpts
+_ALL = (retrieval_topk_excerpts, captured_row_normalisation, incremental_keyset_batch, incremental_metrics, latest_per_key_upsert, cleanup_anti_join, association_expand, json_path_fields, product_document, structured_metadata, text_normalise, query_terms, html_text, chunks_with_offsets, chunk_line_overlap, nearest_key, dedup_rounded, overlap_pairs_top10, repeated_margin_text, margins_removed, visual_rows, page_documents, interval_union_gaps, upper_median_gap, greedy_clusters)
 
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
