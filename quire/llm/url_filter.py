@@ -59,15 +59,15 @@ def walk(graph: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: floa
 
     Each round joins scores with edges on the source (AQE splits a hub's
     edges), and sums before shuffling to the target.  Mass of hosts without
-    links returns to nobody; scores stay at or below the seeds' mass.
+    links returns to nobody.  Scores are in units of the restart, so a seed
+    that nothing links to keeps its own mass.
     """
     out_of = graph.groupBy("src").agg(F.sum("n").alias("total"))
     shares = cut(graph.join(out_of, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")))
     score, old = seeds, None
     for _ in range(rounds):
         moved = score.join(shares, score["host"] == shares["src"]).select(F.col("dst").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"))
-        back = seeds.select("host", (F.col("mass") * (1 - damping)).alias("mass"))
-        score = cut(moved.unionByName(back).groupBy("host").agg(F.sum("mass").alias("mass")))
+        score = cut(moved.unionByName(seeds).groupBy("host").agg(F.sum("mass").alias("mass")))
         if old is not None:
             drop(old)
         old = score

@@ -62,7 +62,7 @@ def test_propagation_by_matrix(spark):
         share = m / np.maximum(m.sum(axis=1, keepdims=True), 1)
         x = seed.copy()
         for _ in range(url_filter.ROUNDS):
-            x = url_filter.DAMPING * x @ share + (1 - url_filter.DAMPING) * seed
+            x = url_filter.DAMPING * x @ share + seed
         return x
 
     # one of two pages of good.com fits the rule
@@ -70,7 +70,7 @@ def test_propagation_by_matrix(spark):
     distrust = ranks(a.T, np.array([0, 0, 0, 1.0, 0]))
     for i, h in ((1, "good.com"), (2, "mid.org"), (3, "bad.net"), (4, "worse.org"), (5, "odd.org")):
         assert abs(found[i]["trust"] - trust[at[h]]) < 1e-9 and abs(found[i]["distrust"] - distrust[at[h]]) < 1e-9
-    assert found[3]["verdict"] == "block" and found[5]["verdict"] == "allow" and found[6]["host"] == found[7]["host"] == ""
+    assert found[3]["verdict"] == "block" and found[4]["verdict"] == "block" and found[4]["rule"] is None and found[5]["verdict"] == "allow" and found[6]["host"] == found[7]["host"] == ""
     assert found[8]["host"] == "good.com" and found[8]["path"] == "" and found[8]["rule"] is None
 
 
