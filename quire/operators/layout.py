@@ -1,0 +1,142 @@
+"""Layout of pages from their visual rows: table, two columns or plain, and the text in reading order.
+
+One pure function looks at one page; it is applied to Arrow batches of pages,
+so memory is bounded by a batch and no shuffle is added to that of the rows.
+"""
+
+from __future__ import annotations
+
+from collections import Counter
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# fixed values: shares of the page's width W, points and counts
+MIN_PARTS, MIN_LINES = 8, 4
+MIN_TABLE_ROWS, MOST_CELLS, STABLE = 3, 8, 3
+COVERAGE, WIDE_TABLE, FILL, CELL = 0.45, 4, 0.52, 24
+BAND = (0.40, 0.65)
+
+Part = tuple[float, float, str]
+
+
+def _anchors(starts: Iterable[float], tolerance: float) -> list[tuple[float, int]]:
+    """(mean, count) of starts that lie near each other, in the order in which they are first met."""
+    means: list[float] = []
+    counts: list[int] = []
+    for x in starts:
+        at = next((i for i, m in enumerate(means) if abs(x - m) <= tolerance), None)
+        if at is None:
+            means.append(x)
+            counts.append(1)
+        else:
+            means[at] += (x - means[at]) / (counts[at] + 1)
+            counts[at] += 1
+    return list(zip(means, counts))
+
+
+def _upper_median(values: list[float]) -> float:
+    return sorted(values)[len(values) // 2] if values else 0.0
+
+
+def table_of(rows: list[list[Part]], width: float) -> tuple[int, float]:
+    """(rows that belong to a table, confidence); (0, 0.0) if the page holds none."""
+    cells = [r for r in rows if 2 <= len(r) <= MOST_CELLS]
+    if len(cells) < MIN_TABLE_ROWS:
+        return 0, 0.0
+    tolerance = min(8.0, max(3.0, 0.012 * width))
+    stable = [m for m, n in _anchors((p[0] for r in cells for p in r), tolerance) if n >= STABLE]
+    on = [r for r in cells if sum(any(abs(p[0] - m) <= tolerance for m in stable) for p in r) >= 2]
+    coverage = len(on) / len(rows)
+    if len(on) < MIN_TABLE_ROWS or coverage < COVERAGE:
+        return 0, 0.0
+    fill = _upper_median([sum(p[1] - p[0] for p in r) / width for r in on])
+    cell = _upper_median([len(p[2]) for r in on for p in r])
+    if len(stable) < WIDE_TABLE and not (fill < FILL and cell <= CELL):
+        return 0, 0.0
+    return len(on), min(0.99, 0.45 + 0.3 * coverage + min(0.2, 0.04 * len(stable)))
+
+
+def column_split(rows: list[list[Part]], width: float) -> tuple[float, float]:
+    """(x between two columns, confidence); (0.0, 0.0) if there is none.
+
+    The most frequent start in the page's central band begins the right
+    column, if each side has lines enough and few parts run across.
+    """
+    if sum(map(len, rows)) < MIN_PARTS:
+        return 0.0, 0.0
+    tolerance = min(9.0, max(4.0, 0.015 * width))
+    central = [a for a in _anchors((p[0] for r in rows for p in r), tolerance) if BAND[0] * width <= a[0] <= BAND[1] * width]
+    if not central:
+        return 0.0, 0.0
+    start, _ = max(central, key=lambda a: (a[1], -a[0]))
+    split = start - max(12.0, 0.025 * width)
+    left = {i for i, r in enumerate(rows) if any(p[0] < split for p in r)}
+    right = {i for i, r in enumerate(rows) if any(p[0] >= split for p in r)}
+    across = sum(p[0] < split < p[1] - max(12.0, 0.03 * width) for r in rows for p in r)
+    if min(len(left), len(right)) < MIN_LINES or across > len(rows) / 2:
+        return 0.0, 0.0
+    coverage, overlap = len(left | right) / len(rows), len(left & right)
+    return split, max(0.5, min(0.98, 0.5 + 0.2 * coverage + 0.25 * overlap / len(rows) - 0.005 * across))
+
+
+def analyse(rows: list[list[Part]], width: float) -> tuple[str, int, int, float, str]:
+    """(layout, column count, table rows, confidence, text) of one page; rows from top to bottom, parts from left to right."""
+    rows = [r for r in rows if r]
+    if not rows:
+        return "empty", 0, 0, 0.0, ""
+    n_table, sure = table_of(rows, width)
+    cells = lambda some: "\n".join(" | ".join(p[2] for p in r) for r in some)
+    if n_table:
+        return "table", 1, n_table, sure, cells(rows)
+    split, sure = column_split(rows, width)
+    if not split:
+        return "plain", 1, 0, 0.9, "\n".join(" ".join(p[2] for p in r) for r in rows)
+    # a row across the split ends a band; each band is read down its left and then down its right side
+    bands: list[list[list[Part]]] = [[]]
+    spans = []
+    for r in rows:
+        if len(r) == 1 and r[0][0] < split < r[0][1] - max(12.0, 0.03 * width):
+            spans.append((len(bands), r))
+            bands += [[r], []]
+        else:
+            bands[-1].append(r)
+    full = {at for at, _ in spans}
+    blocks = []
+    for at, band in enumerate(bands):
+        sides = [band] if at in full else [[[p for p in r if (p[0] >= split) is side] for r in band] for side in (False, True)]
+        for side in sides:
+            if text := "\n".join(" ".join(p[2] for p in r) for r in side if r):
+                blocks.append(text)
+    kinds = Counter(at in full for at in range(len(bands)) if bands[at])
+    return ("mixed" if kinds[True] else "columns"), 2, 0, sure, "\n\n".join(blocks)
+
+
+def page_layouts(rows: DataFrame, width: float = 595.0) -> DataFrame:
+    """doc_id, page_no, layout, columns, table_rows, confidence, text for each page of ``rows`` (as ``positions.rows_of`` gives them)."""
+    lines = F.array_sort(F.collect_list(F.struct("row_no", "parts")))
+    pages = rows.groupBy("doc_id", "page_no").agg(lines.alias("lines"))
+
+    @F.pandas_udf("layout string, columns int, table_rows int, confidence double, text string")
+    def look(column):
+        import pandas as pd
+
+        found = [analyse([[(p["x_min"], p["x_max"], p["text"]) for p in line["parts"]] for line in page], width) for page in column]
+        return pd.DataFrame(found, columns=["layout", "columns", "table_rows", "confidence", "text"])
+
+    return pages.select("doc_id", "page_no", look("lines").alias("p")).select("doc_id", "page_no", "p.*")
+
+
+def strategy(layout, margins_removed, optical_rows, native_text, positioned_text):
+    """(strategy, text) columns: which of a page's texts is taken."""
+    positioned = F.trim(F.coalesce(positioned_text, F.lit("")))
+    native = F.trim(F.coalesce(native_text, F.lit("")))
+    name = (
+        F.when(margins_removed & (positioned != ""), "positioned-filtered")
+        .when(layout.isin("columns", "table", "mixed"), "positioned")
+        .when(optical_rows & (positioned != ""), "positioned-aligned")
+        .when(native != "", "native")
+        .otherwise("positioned-fallback")
+    )
+    return name, F.when(name == "native", native).otherwise(positioned)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quire.functions import cursor, json_path, text
-from quire.operators import chunks, documents, incremental, positions, retrieval
+from quire.functions import cursor, json_path, text, urls
+from quire.operators import chunks, documents, incremental, layout, positions, retrieval
 from quire.plans.sql import SQL
 from quire.sources.tables import table
 
@@ -171,8 +171,16 @@ def greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("l_orderkey", F.posexplode(found).alias("cluster", "c")).select("l_orderkey", "cluster", F.round("c.mean", 6).alias("mean"), "c.n")
 
 
+def page_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.page_layouts(positions.rows_of(positions.atoms(_entries(spark, sf_dir))))
+
+
+def html_first_href(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", urls.add_to_first_href(F.coalesce("html", F.lit("")), "q=der&state=1").alias("html"))
+
+
 FLAGSHIP = retrieval_topk_excerpts
-_ALL = (retrieval_topk_excerpts, captured_row_normalisation, incremental_keyset_batch, incremental_metrics, latest_per_key_upsert, cleanup_anti_join, association_expand, json_path_fields, product_document, structured_metadata, text_normalise, query_terms, html_text, chunks_with_offsets, chunk_line_overlap, nearest_key, dedup_rounded, overlap_pairs_top10, repeated_margin_text, margins_removed, visual_rows, page_documents, interval_union_gaps, upper_median_gap, greedy_clusters)
+_ALL = (retrieval_topk_excerpts, captured_row_normalisation, incremental_keyset_batch, incremental_metrics, latest_per_key_upsert, cleanup_anti_join, association_expand, json_path_fields, product_document, structured_metadata, text_normalise, query_terms, html_text, chunks_with_offsets, chunk_line_overlap, nearest_key, dedup_rounded, overlap_pairs_top10, repeated_margin_text, margins_removed, visual_rows, page_documents, interval_union_gaps, upper_median_gap, greedy_clusters, page_layouts, html_first_href)
 
 
 def queries() -> dict:

@@ -1,0 +1,69 @@
+from quire.functions import urls
+from quire.operators import layout
+from quire.plans import registry
+
+
+def prose(n, x):
+    return [(x, x + 230.0, f"{'left' if x < 300 else 'right'} line {i} of running text here") for i in range(n)]
+
+
+def test_two_columns():
+    rows = [list(r) for r in zip(prose(8, 20.0), prose(8, 350.0))]
+    kind, columns, _, sure, text = layout.analyse(rows, 595.0)
+    assert (kind, columns) == ("columns", 2) and sure >= 0.5
+    assert text.index("left line 7") < text.index("right line 0")
+
+
+def test_heading_above_columns():
+    rows = [[(20.0, 560.0, "Heading over the whole page")]] + [list(r) for r in zip(prose(8, 20.0), prose(8, 350.0))]
+    kind, _, _, _, text = layout.analyse(rows, 595.0)
+    assert kind == "mixed" and text.startswith("Heading") and text.index("left line 7") < text.index("right line 0")
+
+
+def test_table():
+    cells = [("Name", "Code", "Rate", "Region"), ("Alpha", "X-12", "5 %", "North"), ("Beta", "Y-23", "8 %", "South"), ("Gamma", "Z-34", "9 %", "West")]
+    rows = [[(x, x + 5.8 * len(c), c) for x, c in zip((20.0, 180.0, 300.0, 410.0), line)] for line in cells]
+    kind, _, n, sure, text = layout.analyse(rows, 595.0)
+    assert (kind, n) == ("table", 4) and sure > 0.8
+    assert "Beta | Y-23 | 8 % | South" in text
+
+
+def test_plain_and_empty():
+    assert layout.analyse([], 595.0)[0] == "empty"
+    assert layout.analyse([[(20.0, 300.0, "One line")], [(20.0, 200.0, "0")]], 595.0) == ("plain", 1, 0, 0.9, "One line\n0")
+
+
+def test_query(spark, small):
+    found = registry.page_layouts(spark, small).collect()
+    assert len(found) == registry.dedup_rounded(spark, small).count()
+    assert {r["layout"] for r in found} <= {"plain", "columns", "table", "mixed"}
+    words = {(r["doc_id"], r["page_no"]): r["n"] for r in registry.dedup_rounded(spark, small).collect()}
+    for r in found:  # no word is lost, whatever the order
+        assert len([w for w in r["text"].split() if w != "|"]) <= words[r["doc_id"], r["page_no"]]
+
+
+def test_strategies(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("plain", True, False, "n", "p", "positioned-filtered", "p"), ("table", False, False, "n", "p", "positioned", "p"), ("plain", False, True, "n", "p", "positioned-aligned", "p"), ("plain", False, False, " n ", "p", "native", "n"), ("plain", False, False, " ", "p", "positioned-fallback", "p")]
+    df = spark.createDataFrame(rows, "layout string, m boolean, o boolean, n string, p string, want string, text string")
+    name, text = layout.strategy(*map(F.col, ("layout", "m", "o", "n", "p")))
+    for r in df.select("want", "text", name.alias("got"), text.alias("taken")).collect():
+        assert (r["got"], r["taken"]) == (r["want"], r["text"])
+
+
+def test_urls(spark):
+    assert urls.with_parameters("https://a.b/c?x=1&y=#f", {"x": "2 3", "z": "4"}) == "https://a.b/c?x=2%203&y=&z=4#f"
+    from pyspark.sql import functions as F
+
+    run = lambda h: spark.createDataFrame([(h,)], "h string").select(urls.add_to_first_href(F.col("h"), "q=a&s=1")).first()[0]
+    assert run('<p><a class="x" href="/p?a=1#f">1</a><a href="/z">2</a>') == '<p><a class="x" href="/p?a=1&amp;q=a&amp;s=1#f">1</a><a href="/z">2</a>'
+    assert run("<a href='/p'>1</a>") == "<a href='/p?q=a&amp;s=1'>1</a>" and run("no link") == "no link" and run("") == ""
+
+
+def test_nested_parameters():
+    tree = {"a": {"b": {"c": 1}}, "d": 2}
+    assert urls.get_in(tree, ["a", "b", "c"]) == 1 and urls.get_in(tree, ["d", "x"]) is None
+    assert urls.set_in(tree, ["a", "x"], 3) == {"a": {"b": {"c": 1}, "x": 3}, "d": 2}
+    assert urls.remove_in(tree, ["a", "b", "c"]) == {"d": 2} and tree["a"] == {"b": {"c": 1}}
+    assert urls.remove_in(tree, ["d", "x"]) == tree
