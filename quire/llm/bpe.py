@@ -95,27 +95,45 @@ class Pieces:
         return [m[0] for m in self.full.finditer(text)]
 
 
+def merge_table(ranks: dict[bytes, int]) -> tuple:
+    """(left << 20 | right, merged) for every split of a token into two tokens, as arrays."""
+    import numpy as np
+
+    pairs, merged = array("q"), array("i")
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            a, b = ranks.get(token[:i]), ranks.get(token[i:])
+            if a is not None and b is not None:
+                pairs.append(a << 20 | b)
+                merged.append(rank)
+    return np.frombuffer(pairs, np.int64), np.frombuffer(merged, np.int32)
+
+
 class Codec:
     """One partition's database with the merge table and the vocabulary, and what it has encoded so far."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, fast: bool = False):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, fast: bool = False, merges: tuple | None = None):
         import duckdb
         import numpy as np
 
         self.ranks, self.cut = ranks, Pieces(pattern, fast)
         self.known: dict[str, tuple[bytes, bytes]] = {}  # piece: ids, decoded bytes
         self.byte = np.array([ranks.get(bytes([i]), -1) for i in range(256)], dtype=np.int32)
-        pairs, merged = array("q"), array("i")
-        for token, rank in ranks.items():
-            for i in range(1, len(token)):
-                a, b = ranks.get(token[:i]), ranks.get(token[i:])
-                if a is not None and b is not None:
-                    pairs.append(a << 20 | b)
-                    merged.append(rank)
+        pairs, merged = merges or merge_table(ranks)
         self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
-        self._load("merges", pair=np.frombuffer(pairs, np.int64), merged=np.frombuffer(merged, np.int32))
+        self._load("merges", pair=pairs, merged=merged)
         self._load("vocabulary", id=np.fromiter(ranks.values(), np.int32), hex=[t.hex() for t in ranks])
 
+    def close(self) -> None:
+        """Ends the database and hands memory back to the system, since Spark keeps the worker for other tasks."""
+        import ctypes
+
+        self.con.close()
+        self.known.clear()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
     def _load(self, name: str, **columns) -> None:
         self.con.register("incoming", pa.table(columns))
         self.con.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
@@ -226,23 +244,23 @@ class Codec:
                 yield b"".join(ids), b"".join(plain)
 
 
-_codecs: dict[bytes, Codec] = {}
+def _share(spark, path: str):
+    """The vocabulary and its merge table, of a fixed size, as a broadcast variable; the executors need not see the file."""
+    with open(path, "rb") as f:
+        data = f.read()
+    return spark.sparkContext.broadcast((data, merge_table(load_ranks(data))))
 
 
-def _codec(data: bytes, pattern: str, fast: bool) -> Codec:
-    name = hashlib.sha256(data + pattern.encode()).digest()
-    if name not in _codecs:
-        _codecs.clear()
-        _codecs[name] = Codec(load_ranks(data), pattern, fast)
-    return _codecs[name]
+def _codec(shared, pattern: str, fast: bool) -> Codec:
+    data, merges = shared.value
+    return Codec(load_ranks(data), pattern, fast, merges)
 
 
 def _run(docs: DataFrame, path: str, pattern: str, key: str, text: str, fields, make) -> DataFrame:
     import public_tokenizers
 
     fast = pattern == public_tokenizers.PATTERN
-    with open(path, "rb") as f:  # of a fixed size; the executors need not see the file
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    shared = _share(docs.sparkSession, path)
     source = docs.select(docs[key].alias("k"), docs[text].alias("t"))
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
@@ -251,11 +269,14 @@ def _run(docs: DataFrame, path: str, pattern: str, key: str, text: str, fields,
     schema = StructType([StructField(key, source.schema["k"].dataType)] + [StructField(n, k) for (n, _), k in zip(fields, kinds)])
 
     def run(batches):
-        for batch in batches:
-            codec = _codec(shared.value, pattern, fast)
-            rows = [make(*pair) for pair in codec.encode([t or "" for t in batch.column(1).to_pylist()])]
-            columns = list(zip(*rows)) if rows else [[] for _ in fields]
-            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, to_arrow_type(k)) for c, k in zip(columns, kinds)], names=[key] + [n for n, _ in fields])
+        codec = _codec(shared, pattern, fast)
+        try:
+            for batch in batches:
+                rows = [make(*pair) for pair in codec.encode([t or "" for t in batch.column(1).to_pylist()])]
+                columns = list(zip(*rows)) if rows else [[] for _ in fields]
+                yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, to_arrow_type(k)) for c, k in zip(columns, kinds)], names=[key] + [n for n, _ in fields])
+        finally:
+            codec.close()
 
     return source.mapInArrow(run, schema)
 
@@ -274,17 +295,19 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
 def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """key, bytes binary: the bytes of each list of ids; null for a null list."""
-    with open(path, "rb") as f:
-        shared = tokens.sparkSession.sparkContext.broadcast(f.read())
+    shared = _share(tokens.sparkSession, path)
     source = tokens.select(tokens[key].alias("k"), tokens[ids].cast("array<int>").alias("i"))
     from pyspark.sql.types import BinaryType, StructField, StructType
 
     def run(batches):
-        for batch in batches:
-            codec = _codec(shared.value, "", False)
-            lists = batch.column(1).to_pylist()
-            done = codec.decode([struct.pack(f"<{len(x or [])}I", *(x or [])) for x in lists])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else y for x, y in zip(lists, done)], pa.binary())], names=[key, "bytes"])
+        codec = _codec(shared, "", False)
+        try:
+            for batch in batches:
+                lists = batch.column(1).to_pylist()
+                done = codec.decode([struct.pack(f"<{len(x or [])}I", *(x or [])) for x in lists])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else y for x, y in zip(lists, done)], pa.binary())], names=[key, "bytes"])
+        finally:
+            codec.close()
 
     return source.mapInArrow(run, StructType([StructField(key, source.schema["k"].dataType), StructField("bytes", BinaryType())]))
 
