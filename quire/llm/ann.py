@@ -2,8 +2,11 @@
 
 Each of M random lines sorts a block's projections.  A query opens a window
 around its own projection on every line; virtual rehashing widens all windows
-by a factor until enough of the block's vectors collide with the query on at
-least ALPHA of the lines.  Those are verified by their exact inner product.
+by a factor.  Vectors that collide with the query on at least ALPHA of the
+lines are verified by their exact inner product.  Windows stop growing when a
+vector as near as the k-th best verified one has collided on so many lines with
+probability SURE; nearer ones have with a greater one.  So the share of rows
+that is verified follows the data, whatever their number, length or dimensions.
 
 Queries meet all rows in blocks of bounded size, and each block gives a query
 its best k, so neither a group of equal vectors nor a common id makes a task
@@ -19,21 +22,35 @@ gives an empty table.
 
 from __future__ import annotations
 
+import math
+from functools import cache
+from statistics import NormalDist
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LINES = 64
 ALPHA = 0.6
+#: least probability with which each of a block's best k is verified
+SURE = 0.95
 #: first half-width of a window, relative to the common length, and how it grows
 START, GROW = 1.0, 1.08
-#: share of a block that must collide often enough before windows stop growing
-ENOUGH = 0.2
-#: and this many times k at least, which matters in small blocks
-FLOOR = 8
 ROWS, QUERIES = 8192, 4096
 
 
+@cache
+def reach(lines: int, alpha: float = ALPHA, sure: float = SURE) -> float:
+    """Half-width, in units of a vector's distance, at which it collides on ``alpha`` of the lines with probability ``sure``."""
+    least = math.ceil(alpha * lines)
+    low, high = 0.0, 1.0
+    for _ in range(50):  # of one line's probability; a projected difference is normal, its deviation the distance
+        p = (low + high) / 2
+        tail = sum(math.comb(lines, i) * p**i * (1 - p) ** (lines - i) for i in range(least, lines + 1))
+        low, high = (p, high) if tail < sure else (low, p)
+    return NormalDist().inv_cdf((1 + high) / 2)
+
+
 class Block:
     """One block's vectors with their sorted projections."""
 
@@ -56,8 +73,9 @@ class Block:
     def search(self, queries: np.ndarray, own: np.ndarray, k: int):
         """For each query the positions and products of its k best rows: best first, ties to the smaller id."""
         n, lines = len(self.ids), len(self.order)
-        need, often = min(n, FLOOR * k + 1 + int(ENOUGH * n)), ALPHA * lines
-        scaled = queries * (self.length / np.sqrt((queries * queries).sum(axis=1)))[:, None]
+        often, far = ALPHA * lines, reach(lines)
+        norms = np.sqrt((queries * queries).sum(axis=1))
+        scaled = queries * (self.length / norms)[:, None]
         centres = scaled @ self.axes[:-1]
         spread = np.abs(self.sorted[:, [0, -1]]).max() + np.abs(centres).max()
         widths = [START * self.length]
@@ -66,24 +84,28 @@ class Block:
         ends: list = []  # of all queries, for the widths that any has needed
         for q in range(len(queries)):
             counts = low = high = None
-            for level in range(len(widths)):
+            rough = np.full(n, -np.inf)  # fast products of the verified rows
+            new = self.ids != own[q]
+            for level, width in enumerate(widths):
                 if level == len(ends):
-                    ends.append([x.tolist() for x in self._windows(centres, widths[level])])
+                    ends.append([x.tolist() for x in self._windows(centres, width)])
                 a, b = ends[level][0][q], ends[level][1][q]
                 if counts is None:
                     counts = np.bincount(np.concatenate([o[i:j] for o, i, j in zip(self.order, a, b)]), minlength=n)
                 else:  # only what the wider windows add
                     rings = [o[i:j] for o, i, j in zip(self.order, a, low)] + [o[i:j] for o, i, j in zip(self.order, high, b)]
                     counts += np.bincount(np.concatenate(rings), minlength=n)
-                near = np.flatnonzero(counts >= often)
-                if len(near) >= need:
-                    break
                 low, high = a, b
-            near = near[self.ids[near] != own[q]]
-            if len(near) > k:  # a fast product leaves what may be among the best; its rounding is far below the margin
-                rough = self.vectors.take(near, axis=0) @ queries[q]
-                edge = np.partition(rough, len(rough) - k)[len(rough) - k]
-                near = near[rough >= edge - 1e-9 * max(1.0, abs(edge))]
+                near = np.flatnonzero(new & (counts >= often))
+                rough[near] = self.vectors.take(near, axis=0) @ queries[q]
+                new[near] = False
+                if n > k:
+                    edge = np.partition(rough, n - k)[n - k]  # -inf until k are verified
+                    if width >= far * math.sqrt(max(0.0, 2 * self.length * (self.length - edge / norms[q]))):
+                        break
+            near = np.flatnonzero(rough > -np.inf)
+            if len(near) > k:  # what may be among the best; a fast product's rounding is far below the margin
+                near = near[rough[near] >= edge - 1e-9 * max(1.0, abs(edge))]
             products = (self.vectors[near] * queries[q]).sum(axis=1)
             best = np.lexsort((self.ids[near], -products))[:k]
             yield near[best], products[best]

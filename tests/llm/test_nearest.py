@@ -31,3 +31,41 @@ def test_odd_vectors(spark):
     assert of(20)[0] == (3, 2.0) and of(40) == []
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
     assert ann.nearest(df, df.limit(0)).count() == 0
+
+
+def recall(ids, vectors, blocks=1, k=20):
+    """Share of the true k best that are found for every 20th row, asked of all blocks."""
+    asked = np.flatnonzero(ids % 20 == 0)[:100]
+    got = [[] for _ in asked]
+    for p in range(blocks):
+        block = ann.Block(ids[p::blocks], vectors[p::blocks])
+        for some, (at, score) in zip(got, block.search(vectors[asked], ids[asked], k)):
+            some += zip(-score, block.ids[at])
+    hit = 0
+    for q, some in zip(asked, got):
+        products = vectors @ vectors[q]
+        products[ids == ids[q]] = -np.inf
+        hit += len(set(ids[np.lexsort((ids, -products))[:k]]) & {i for _, i in sorted(some)[:k]})
+    return hit / (k * len(asked))
+
+
+def test_recall_on_the_larger_table(spark):
+    rows = ann.usable(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), "vec_id", "embedding").collect()
+    assert len(rows) == 2000
+    assert recall(np.array([r["id"] for r in rows]), np.array([r["v"] for r in rows])) >= 0.9
+
+
+def test_recall_on_full_blocks():
+    draw = np.random.default_rng(0)
+    for size in (64, 128):
+        unit = draw.standard_normal((ann.ROWS, size))
+        unit /= np.linalg.norm(unit, axis=1)[:, None]
+        assert recall(np.arange(ann.ROWS), unit) >= 0.9
+        assert recall(np.arange(ann.ROWS), unit * draw.uniform(0.2, 1.0, (ann.ROWS, 1))) >= 0.9
+
+
+def test_fewer_rows_than_asked_for():
+    draw = np.random.default_rng(1)
+    assert recall(np.arange(15), draw.standard_normal((15, 8)), k=14) == 1.0
+    found = [len(at) for at, _ in ann.Block(np.arange(15), draw.standard_normal((15, 8))).search(draw.standard_normal((3, 8)), np.array([0, 1, 99]), 20)]
+    assert found == [14, 14, 15]
