@@ -11,10 +11,12 @@ A conversation without explicit calls is linked by its turns: a user turn is a
 call of ``respond`` with the argument ``text``, and the next turn, if the
 assistant's, is its result.
 
-Topological order: rows sort by (order_turn, depth, turn, seq).  A call or
-message stands at its own turn; a result stands at its own turn or at its
-call's if that is later, and deeper than it; a call whose arguments name
-another call's result ("$result:<id>") comes after that result.
+Topological order: rows sort by (order_turn, depth, turn, seq).  A message
+stands at its own turn.  A result stands at its own turn or at its call's place
+if that is later, and deeper than it.  A call whose arguments name another
+call's result ("$result:<id>") stands at its own turn or at that result's place
+if that is later, and deeper than it, so it comes after that result; a result
+that is missing counts as standing at its call's place.
 
 Defined results: null conversations, turns, roles and texts are kept; a null
 text is empty; blocks that are not JSON objects, or calls without id, are
@@ -86,8 +88,8 @@ def _first(df: DataFrame) -> DataFrame:
     return df.where("id IS NOT NULL").groupBy("conv_id", "id").agg(F.min(F.struct("turn", "seq", "row")).alias("first"), F.count("*").alias("n"))
 
 
-def _levels(calls: DataFrame) -> DataFrame:
-    """conv_id, id, level, waits: how many results stand before a call, along the longest chain of references.
+def _levels(calls: DataFrame, first_call: DataFrame, first_result: DataFrame) -> DataFrame:
+    """conv_id, id, level, after, waits: how many results stand before a call, along the longest chain of references, and the last place of those it names.
 
     Rounds settle the calls whose references are settled; each is written to
     the shared folder.  What is left when a round settles nothing is a cycle.
@@ -96,14 +98,19 @@ def _levels(calls: DataFrame) -> DataFrame:
     known = calls.where("id IS NOT NULL").select("conv_id", "id").distinct()
     refs = refs.join(known.withColumnRenamed("id", "ref"), ["conv_id", "ref"], "left_semi")
     if refs.isEmpty():
-        return known.select("conv_id", "id", F.lit(0).alias("level"), F.lit(False).alias("waits")).limit(0)
+        return known.select("conv_id", "id", F.lit(0).alias("level"), F.lit(None).cast("long").alias("after"), F.lit(False).alias("waits")).limit(0)
     refs = cut(refs)
+    key = ["conv_id", "id"]
+    own = first_call.select(*key, F.col("first.turn").alias("call")).join(first_result.select(*key, F.col("first.turn").alias("result")), key, "left")
+    own = cut(own.select(*key, F.greatest("call", "result").alias("own")))
+    place = F.greatest("own", "after").alias("place")  # of the result; nulls do not count
     waiting = cut(refs.select("conv_id", "id").distinct())
-    settled = cut(known.join(waiting, ["conv_id", "id"], "left_anti").select("conv_id", "id", F.lit(0).alias("level")))
+    settled = cut(own.join(waiting, key, "left_anti").select(*key, F.lit(0).alias("level"), F.lit(None).cast("long").alias("after"), F.col("own").alias("place")))
     left = waiting.count()
     while left:
-        by = refs.join(waiting, ["conv_id", "id"], "left_semi").join(settled.select("conv_id", F.col("id").alias("ref"), "level"), ["conv_id", "ref"], "left")
-        ready = by.groupBy("conv_id", "id").agg((F.max("level") + 1).alias("level"), F.count_if(F.col("level").isNull()).alias("open")).where("open = 0").drop("open")
+        by = refs.join(waiting, ["conv_id", "id"], "left_semi").join(settled.select("conv_id", F.col("id").alias("ref"), "level", "place"), ["conv_id", "ref"], "left")
+        ready = by.groupBy("conv_id", "id").agg((F.max("level") + 1).alias("level"), F.max("place").alias("after"), F.count_if(F.col("level").isNull()).alias("open")).where("open = 0")
+        ready = ready.join(own, key).select(*key, "level", "after", place)
         settled2 = cut(settled.unionByName(ready))
         waiting2 = cut(waiting.join(settled2, ["conv_id", "id"], "left_anti"))
         drop(settled, waiting)
@@ -111,7 +118,7 @@ def _levels(calls: DataFrame) -> DataFrame:
         left = waiting.count()
         if left == before:
             break
-    return settled.where("level > 0").select("conv_id", "id", "level", F.lit(False).alias("waits")).unionByName(waiting.select("conv_id", "id", F.lit(0).alias("level"), F.lit(True).alias("waits")))
+    return settled.where("level > 0").select("conv_id", "id", "level", "after", F.lit(False).alias("waits")).unionByName(waiting.select("conv_id", "id", F.lit(0).alias("level"), F.lit(None).cast("long").alias("after"), F.lit(True).alias("waits")))
 
 
 def link(conversations: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
@@ -123,18 +130,19 @@ def link(conversations: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     plain = turns.join(special, turns["conv_id"].eqNullSafe(special["conv_id"]), "left_anti")
     # written once: what follows reads them several times
     calls, results = (cut(a.unionByName(b)) for a, b in zip(_explicit(turns, schemas), _implicit(plain)))
-    first_call, first_result, levels = _first(calls), _first(results), _levels(calls)
+    first_call, first_result = _first(calls), _first(results)
+    levels = _levels(calls, first_call, first_result)
     key = ["conv_id", "id"]
     c = calls.join(first_call.select(*key, F.col("first").alias("call")), key, "left").join(first_result.select(*key, F.col("first").alias("result")), key, "left").join(levels, key, "left")
     mine = F.struct("turn", "seq", "row")
     status = F.when(F.col("id").isNull(), "malformed").when(F.coalesce("waits", F.lit(False)), "cycle").when(mine != F.col("call"), "duplicate").when(F.col("result").isNull(), "unanswered").otherwise("linked")
     depth = 1 + 2 * F.coalesce("level", F.lit(0))
     written = F.concat(F.lit('{"arguments":'), F.coalesce("arguments", F.lit("null")), F.lit(',"id":'), F.coalesce(quote(F.col("id")), F.lit("null")), F.lit(',"name":'), F.coalesce(quote(F.col("name")), F.lit("null")), F.lit(',"type":"call"}'))
-    c = c.select("conv_id", "turn", "seq", F.lit("call").alias("kind"), F.lit("assistant").alias("role"), F.col("id").alias("call_id"), status.alias("status"), "args_valid", F.col("turn").alias("order_turn"), depth.cast("int").alias("depth"), written.alias("json"))
+    c = c.select("conv_id", "turn", "seq", F.lit("call").alias("kind"), F.lit("assistant").alias("role"), F.col("id").alias("call_id"), status.alias("status"), "args_valid", F.greatest("turn", "after").alias("order_turn"), depth.cast("int").alias("depth"), written.alias("json"))
     r = results.join(first_result.select(*key, F.col("first").alias("result")), key, "left").join(first_call.select(*key, F.col("first").alias("call")), key, "left").join(levels, key, "left")
     status = F.when(F.col("id").isNull(), "malformed").when(F.col("call").isNull(), "orphan").when(mine != F.col("result"), "duplicate").otherwise("linked")
     written = F.concat(F.lit('{"content":'), "content", F.lit(',"tool_call_id":'), F.coalesce(quote(F.col("id")), F.lit("null")), F.lit(',"type":"result"}'))
-    r = r.select("conv_id", "turn", "seq", F.lit("result").alias("kind"), F.lit("tool").alias("role"), F.col("id").alias("call_id"), status.alias("status"), F.lit(None).cast("boolean").alias("args_valid"), F.greatest("turn", F.col("call.turn")).alias("order_turn"), (2 + 2 * F.coalesce("level", F.lit(0))).cast("int").alias("depth"), written.alias("json"))
+    r = r.select("conv_id", "turn", "seq", F.lit("result").alias("kind"), F.lit("tool").alias("role"), F.col("id").alias("call_id"), status.alias("status"), F.lit(None).cast("boolean").alias("args_valid"), F.greatest("turn", F.col("call.turn"), "after").alias("order_turn"), (2 + 2 * F.coalesce("level", F.lit(0))).cast("int").alias("depth"), written.alias("json"))
     written = F.concat(F.lit('{"content":'), quote(F.coalesce("text", F.lit(""))), F.lit(',"role":'), F.coalesce(quote(F.col("role")), F.lit("null")), F.lit(',"type":"message"}'))
     m = turns.select("conv_id", "turn", F.lit(0).alias("seq"), F.lit("message").alias("kind"), "role", F.lit(None).cast("string").alias("call_id"), F.lit("message").alias("status"), F.lit(None).cast("boolean").alias("args_valid"), F.col("turn").alias("order_turn"), F.lit(0).alias("depth"), written.alias("json"))
     return m.unionByName(c).unionByName(r)

@@ -50,6 +50,27 @@ def test_explicit_calls(spark):
     assert calls[1, 3]["depth"] > results[2]["depth"]
 
 
+def test_calls_come_after_the_results_they_name(spark):
+    rows = [
+        (1, 0, "user", "hi"),
+        (1, 1, "assistant", call("c1", "add", a=1) + call("c3", "say", text="$result:c1") + call("c4", "say", text="$result:c3") + call("c5", "say", text="$result:c2")),
+        (1, 2, "tool", json.dumps({"tool_call_id": "c1", "content": 1})),
+        (1, 3, "tool", json.dumps({"tool_call_id": "c4", "content": "early"})),
+        (1, 6, "tool", json.dumps({"tool_call_id": "c3", "content": "late"})),
+        (1, 7, "assistant", call("c2", "add", a=1)),
+        (2, 0, "assistant", call("c1", "say", text="$result:c3") + call("c3", "say", text="other")),
+        (2, 1, "tool", json.dumps({"tool_call_id": "c3", "content": 2})),
+    ]
+    out = chat_tools.link(frame(spark, rows), TOOLS).collect()
+    order = sorted(out, key=lambda r: (r["conv_id"], r["order_turn"], r["depth"], r["turn"], r["seq"]))
+    place = {(r["conv_id"], r["kind"], r["call_id"]): i for i, r in enumerate(order)}
+    assert place[1, "call", "c1"] < place[1, "result", "c1"] < place[1, "call", "c3"] < place[1, "result", "c3"] < place[1, "call", "c4"] < place[1, "result", "c4"]
+    assert place[1, "call", "c2"] < place[1, "call", "c5"]  # that result is missing
+    assert place[2, "call", "c3"] < place[2, "result", "c3"] < place[2, "call", "c1"]
+    turns = {(r["kind"], r["call_id"]): r["order_turn"] for r in out if r["conv_id"] == 1}
+    assert [turns["call", c] for c in ("c1", "c3", "c4", "c5")] == [1, 2, 6, 7] and turns["result", "c4"] == 6
+
+
 def test_odd_rows(spark):
     rows = [(1, 0, "user", None), (1, 1, "assistant", "x" * 200_000), (1, 1, "assistant", "y"), (1, 0, "user", None), (None, None, None, None), (2, None, "user", "a"), (3, 0, "user", 'q"\\\n\t\x01 ü🙂'), (None, 1, "user", "b")]
     out = chat_tools.link(frame(spark, rows)).collect()
