@@ -2,9 +2,13 @@
 
 Host edges come from the links of the pages.  Trust is personalised PageRank
 from hosts with allowed pages; distrust is the same walk over reversed edges
-from hosts with blocked pages.  A host whose distrust exceeds its trust by
-``margin`` is blocked; a seed's mass is the share of its pages that a rule
-allows (blocks).
+from hosts with blocked pages; a seed's mass is the share of its pages that a
+rule allows (blocks).  Both thin out as they are split among many hosts, so
+they are compared in relation to what the same seeds would give with full
+mass, where that is less than one restart.  A host whose distrust then exceeds
+its trust by ``margin`` is blocked, however many others link to the same
+blocked host.  A host that only blocked seeds reach is blocked even if few of
+its links lead there; one that both kinds reach is judged by their difference.
 
 Defined results: a null url or one without '://' has an empty host and path,
 fits no rule and is allowed; null html has no links; repeated rows each give
@@ -55,19 +59,20 @@ def edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
 
 
 def walk(graph: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """host, score: personalised PageRank with restarts at ``seeds`` (host, mass), by a fixed number of rounds.
+    """host, mass, full: personalised PageRank with restarts at ``seeds`` (host, mass, full), by a fixed number of rounds.
 
     Each round joins scores with edges on the source (AQE splits a hub's
     edges), and sums before shuffling to the target.  Mass of hosts without
     links returns to nobody.  Scores are in units of the restart, so a seed
-    that nothing links to keeps its own mass.
+    that nothing links to keeps its own mass.  ``full`` is a second mass that
+    goes the same ways.
     """
     out_of = graph.groupBy("src").agg(F.sum("n").alias("total"))
     shares = cut(graph.join(out_of, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")))
     score, old = seeds, None
     for _ in range(rounds):
-        moved = score.join(shares, score["host"] == shares["src"]).select(F.col("dst").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"))
-        score = cut(moved.unionByName(seeds).groupBy("host").agg(F.sum("mass").alias("mass")))
+        moved = score.join(shares, score["host"] == shares["src"]).select(F.col("dst").alias("host"), *[(F.col(m) * F.col("share") * damping).alias(m) for m in ("mass", "full")])
+        score = cut(moved.unionByName(seeds).groupBy("host").agg(F.sum("mass").alias("mass"), F.sum("full").alias("full")))
         if old is not None:
             drop(old)
         old = score
@@ -82,13 +87,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id",
     judged = split.select("*", rule.alias("rule"), says.alias("says"))
     hosts = cut(judged.where("host <> ''").groupBy("host").agg(F.count_if(F.col("says") == "allow").alias("allowed"), F.count_if(F.col("says") == "block").alias("blocked"), F.count("*").alias("pages")))
     graph = cut(edges(pages, url, html))
-    trusted = hosts.where("allowed > 0").select("host", (F.col("allowed") / F.col("pages")).alias("mass"))
-    blocked = hosts.where("blocked > 0").select("host", (F.col("blocked") / F.col("pages")).alias("mass"))
+    trusted = hosts.where("allowed > 0").select("host", (F.col("allowed") / F.col("pages")).alias("mass"), F.lit(1.0).alias("full"))
+    blocked = hosts.where("blocked > 0").select("host", (F.col("blocked") / F.col("pages")).alias("mass"), F.lit(1.0).alias("full"))
     if graph.isEmpty():  # nothing to walk along: every seed keeps its own mass
         trust, distrust = trusted, blocked
     else:
         trust = walk(graph, trusted)
         distrust = walk(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), blocked)
-    scores = hosts.select("host").join(trust.select("host", F.col("mass").alias("trust")), "host", "left").join(distrust.select("host", F.col("mass").alias("distrust")), "host", "left").na.fill(0.0)
-    method = F.when(F.coalesce(F.col("distrust"), F.lit(0.0)) > F.coalesce(F.col("trust"), F.lit(0.0)) + margin, "block").otherwise("allow")
+    scores = hosts.select("host").join(trust.select("host", F.col("mass").alias("trust"), F.col("full").alias("trust_full")), "host", "left").join(distrust.select("host", F.col("mass").alias("distrust"), F.col("full").alias("distrust_full")), "host", "left").na.fill(0.0)
+    method = F.when(F.col("distrust") - F.col("trust") > margin * F.least(F.lit(1.0), F.col("trust_full") + F.col("distrust_full")), "block").otherwise("allow")
     return judged.join(scores, "host", "left").select(key, "host", "path", "rule", F.coalesce("says", method).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

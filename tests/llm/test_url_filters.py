@@ -74,6 +74,19 @@ def test_propagation_by_matrix(spark):
     assert found[8]["host"] == "good.com" and found[8]["path"] == "" and found[8]["rule"] is None
 
 
+def test_distrust_reaches_all_linkers_of_a_blocked_host(spark):
+    to = lambda *hosts: "".join(f"<a href='http://{h}/'>x</a>" for h in hosts)
+    rows = [("http://hub.net/es/", to(*[f"farm{i}.org" for i in range(30)]))]
+    rows += [(f"http://farm{i}.org/", to("hub.net")) for i in range(30)]  # linked back
+    rows += [(f"http://sole{i}.org/", to("hub.net")) for i in range(100)]
+    rows += [("http://second.org/", to("sole7.org")), ("http://other.net/es/", None), ("http://known.org/", to("other.net")), ("http://good.com/", to("known.org"))]
+    rows += [("http://mixed.net/es/", None), *[(f"http://mixed.net/{i}", None) for i in range(9)], ("http://mild.org/", to("mixed.net"))]
+    rows += [("http://alone.org/", to("mild.org", "clean.org"))]
+    found = {r["host"]: r["verdict"] for r in url_filter.judge(pages(spark, [(i, *r) for i, r in enumerate(rows)]), queries.RULES).where("rule IS NULL").collect()}
+    assert {h for h, v in found.items() if v == "block"} == {*[f"farm{i}.org" for i in range(30)], *[f"sole{i}.org" for i in range(100)], "second.org"}
+    assert {h for h, v in found.items() if v == "allow"} == {"known.org", "mixed.net", "mild.org", "alone.org"}
+
+
 def test_odd_tables(spark):
     assert url_filter.judge(pages(spark, []), queries.RULES).count() == 0
     twice = url_filter.judge(pages(spark, [LINKS[0], LINKS[0], (None, None, None), (9, "http://x.com/" + "p" * 50_000, "y" * 200_000)]), queries.RULES)
