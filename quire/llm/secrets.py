@@ -22,8 +22,6 @@ BASE_KINDS = ("assign", "access", "hex")
 KINDS = BASE_KINDS + ("literal",)
 #: a literal is kept from this score on
 THRESHOLD = 0.6
-#: longest name, with its quotes and blanks, that is looked for before a separator
-NAME_SPACE = 96
 
 
 def _either(word: str) -> str:
@@ -34,7 +32,11 @@ _ASSIGN = re.compile("(" + "|".join(map(_either, ("password", "passwd", "secret"
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _SEPARATOR = re.compile(r":=|=>|[=:]")
-_NAME = re.compile(r"""(?:^|[^A-Za-z0-9_.$-])(["']?)([A-Za-z_$][A-Za-z0-9_.$-]{0,63})\1[ \t]*$""")
+# these three read the reversed text on from a separator, so that a name of any length takes one pass
+_NAME = re.compile(r"""[ \t]*+(["']?)([A-Za-z0-9_.$-]*+(?<=[A-Za-z_$]))\1(?![A-Za-z0-9_.$-])""")
+_SUBSCRIPT = re.compile(r"""[ \t]*+\][ \t]*+(?:(["'])([^"'\n\[\]]++)\1|([A-Za-z0-9_.$-]++))[ \t]*+\[""")
+_OWNER = re.compile(r"[ \t]*+([A-Za-z0-9_.$-]*+)")
+_TYPE = re.compile(r"""[ \t]*+[A-Za-z_&*"'\[][A-Za-z0-9_.:\[\]<>|,&*?"' \t]*+""")
 _VALUE = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|([A-Za-z0-9+/_.=$-]+))""")
 _IDENT = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$]*\Z")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
@@ -60,14 +62,37 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 4) * (1.0 if classes > 1 else 0.4)
 
 
+def _target(back: str, at: int) -> str | None:
+    """The name that ends where the reversed text is at: a word, a quoted word, or an owner and its subscripts joined by dots."""
+    keys = []
+    while m := _SUBSCRIPT.match(back, at):
+        keys.append((m[2] or m[3])[::-1])
+        at = m.end()
+    if keys:
+        return ".".join([_OWNER.match(back, at)[1][::-1], *reversed(keys)]).lstrip(".")
+    m = _NAME.match(back, at)
+    return m and m[2][::-1]
+
+
 def pairs(text: str) -> list[tuple[str, str, int, int]]:
-    """(target name, literal, start, end): constants are followed to the names that are set to them."""
+    """(target name, literal, start, end): constants are followed to the names that are set to them.
+
+    In ``a: b = literal`` both names are targets, as b may be a's type.
+    """
     constants: dict[str, tuple[str, int, int]] = {}
     out = []
+    back, typed = text[::-1], None  # the name before the last colon, and where its type begins
     for sep in _SEPARATOR.finditer(text):
-        low = max(0, sep.start() - NAME_SPACE)
-        name = _NAME.search(text[low : sep.start()].rpartition("\n")[2])
-        value = name and _VALUE.match(text, sep.end())
+        name = _target(back, len(text) - sep.start())
+        names = [name] if name else []
+        if sep[0] == ":":
+            if "::" not in text[max(0, sep.start() - 1) : sep.end() + 1]:  # not within a type's path
+                typed = name and (name, sep.end())
+        else:
+            if typed and sep[0] == "=" and _TYPE.fullmatch(text, typed[1], sep.start()):
+                names.append(typed[0])
+            typed = None
+        value = names and _VALUE.match(text, sep.end())
         if not value:
             continue
         group = value.lastindex
@@ -78,8 +103,9 @@ def pairs(text: str) -> list[tuple[str, str, int, int]]:
             continue  # a name that stands for nothing known
         else:
             found = (literal, value.start(group), value.end(group))
-        constants[name[2]] = found
-        out.append((name[2], *found))
+        for name in names:
+            constants[name] = found
+            out.append((name, *found))
     return out
 
 

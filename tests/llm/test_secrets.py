@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -39,6 +40,25 @@ def test_constants_reach_sensitive_names():
     assert not [s for s in secrets.find('private_key = "$VARIABLE_NAME1"\n') if s[0] == "literal"]
 
 
+def test_names_of_any_length_subscripts_and_types():
+    value = "Zx81-qqPw77"
+    long = "spring.security.saml2.relyingparty.registration.okta.signing.credentials"
+    assert len(long) > 64
+    for target in (f"{long}=", "a." * 5_000 + "pwd = ", f'"{"x-" * 40}pwd": ', 'os.environ["DB_PWD"] = ', "config['db'][ 'pwd' ] = ", "pwd[0] = ", "credentials[name]=", "pwd: str = ", "let pwd: string | null = ", "const PWD: &'static str = ", "pwd: std::string::String = ", "pwd: Optional[str] = ", "note: pwd = "):
+        text = f'x = 1\n{target}"{value}"\n'
+        at = text.index(value)
+        assert [s[:3] for s in secrets.find(text) if s[0] == "literal"] == [("literal", at, at + len(value))], target
+    for target in ('os.environ["HOME"] = ', "title: str = ", "pwd: str\ntitle = ", "9pwd = ", "pwd: list = x; title = ", "title" * 100 + " = "):
+        assert not [s for s in secrets.find(f'{target}"{value}"\n') if s[0] == "literal"], target
+
+
+def test_names_take_linear_time():
+    begun = time.process_time()
+    for text in ("a" * 1_000_000 + "=x", "a:" * 300_000, "a[b]" * 200_000 + "=x", '["=' * 200_000, "a::" * 200_000, "a: b " * 200_000 + "= x", " " * 1_000_000 + "=x", '"]=' * 200_000):
+        secrets.pairs(text)
+    assert time.process_time() - begun < 30
+
+
 def test_odd_rows(odd, none):
     assert secrets.digest(odd).count() == 12
     assert secrets.digest(none).count() == 0
