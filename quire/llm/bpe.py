@@ -6,19 +6,25 @@ neighbouring positions with the merge table and contracts each piece's
 leftmost pair of least rank until none is left.  Decoding joins ids with the
 vocabulary and aggregates the bytes in order.
 
-Pieces beyond LONG bytes would need as many rounds as they have bytes, each
-over all their positions.  They are merged by a heap instead (the same
-leftmost least-rank rule), so that cost stays near linear in their length.
+Pieces beyond SHORT bytes are first cut where no token of the vocabulary can
+reach across, which changes nothing.  What is still longer goes through a
+second recursive query with the same rule: it contracts all places of a word's
+least rank in one round, from left to right, unless a merge there would open a
+pair of lesser rank, which then comes next.  A query holds the rows of all its
+rounds, so words share one only up to ROOM rows, and rounds beyond that are
+taken up by a further query from where the last one stopped.  So a worker's
+memory is bounded, whatever the length of a piece.
 
 Defined results: a null or empty text has no ids and decodes to no bytes;
-repeated rows each give their row; an empty table gives an empty table.
+repeated rows each give their row; an empty table gives an empty table; of
+pairs with the same rank (a tie) the leftmost goes first.  A text of any length
+is held as one value.  Only the named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 import struct
 import sys
@@ -30,10 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-#: pieces above this many bytes are merged by a heap
-LONG = 256
-#: pieces in one recursive query, which holds the rows of all its rounds
+#: pieces of up to this many bytes go through the plain contraction
+SHORT = 64
+#: pieces in one recursive query, at most
 CHUNK = 25_000
+#: rows that the rounds of one recursive query may hold, about
+ROOM = 2_000_000
 #: pieces that a worker remembers; more clear its memory
 MEMO = 600_000
 
@@ -58,6 +66,50 @@ WITH RECURSIVE step(it, w, pos, id, npos, nid) AS (
 ), last AS (SELECT w, max(it) AS it FROM step GROUP BY w)
 SELECT s.w, s.pos, s.id FROM step s JOIN last USING (w, it) ORDER BY s.w, s.pos
 """
+#: as _CONTRACT for words of any length: all places of the least rank in one round, for a limited number of rounds
+_CONTRACT_LONG = """
+WITH RECURSIVE step(it, w, pos, id, npos, nid, pid, nnid) AS (
+  SELECT 0::INTEGER, w, pos, id, lead(pos) OVER o, lead(id) OVER o, lag(id) OVER o, lead(id, 2) OVER o FROM base WINDOW o AS (PARTITION BY w ORDER BY pos)
+  UNION ALL
+  SELECT it + 1, w, pos, id, lead(pos) OVER o, lead(id) OVER o, lag(id) OVER o, lead(id, 2) OVER o
+  FROM (
+    SELECT s.it, s.w, s.pos, coalesce(b.merged, s.id) AS id
+    FROM step s
+    JOIN (SELECT DISTINCT c.w FROM step c JOIN merges m ON m.pair = (c.id::BIGINT << 20 | c.nid)) live ON live.w = s.w
+    LEFT JOIN (
+      SELECT w, unnest([pos, npos]) AS pos, unnest([merged, -1]) AS merged
+      FROM (
+        SELECT *, coalesce(sum(opens) OVER (PARTITION BY w ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS opened
+        FROM (
+          SELECT l.w, l.pos, l.npos, l.merged,
+            CASE WHEN l.hazard AND (least(coalesce(x.merged, l.merged), coalesce(y.merged, l.merged), coalesce(z.merged, l.merged)) < l.merged) THEN 1 ELSE 0 END AS opens
+          FROM (
+            SELECT *, row_number() OVER (PARTITION BY w, run ORDER BY pos) AS k
+            FROM (
+              SELECT *, sum(CASE WHEN pos = before THEN 0 ELSE 1 END) OVER (PARTITION BY w ORDER BY pos) AS run
+              FROM (
+                SELECT *, lag(npos) OVER (PARTITION BY w ORDER BY pos) AS before
+                FROM (
+                  SELECT c.w, c.pos, c.npos, c.pid, c.nnid, m.merged, m.hazard, min(m.merged) OVER (PARTITION BY c.w) AS lowest
+                  FROM step c JOIN merges m ON m.pair = (c.id::BIGINT << 20 | c.nid)
+                )
+                WHERE merged = lowest
+              )
+            )
+          ) l
+          LEFT JOIN merges x ON l.hazard AND x.pair = (l.pid::BIGINT << 20 | l.merged)
+          LEFT JOIN merges y ON l.hazard AND y.pair = (l.merged::BIGINT << 20 | l.nnid)
+          LEFT JOIN merges z ON l.hazard AND z.pair = (l.merged::BIGINT << 20 | l.merged)
+          WHERE l.k % 2 = 1
+        )
+      )
+      WHERE opened = 0
+    ) b ON b.w = s.w AND b.pos = s.pos
+    WHERE s.it < {rounds} AND coalesce(b.merged, 0) >= 0
+  ) WINDOW o AS (PARTITION BY w ORDER BY pos)
+), last AS (SELECT w, max(it) AS it FROM step GROUP BY w)
+SELECT s.w, s.pos, s.id, s.it FROM step s JOIN last USING (w, it) ORDER BY s.w, s.pos
+"""
 _DECODE = "SELECT t.w, string_agg(v.hex, '' ORDER BY t.pos) AS hex FROM tokens t JOIN vocabulary v USING (id) GROUP BY t.w ORDER BY t.w"
 
 
@@ -96,7 +148,10 @@ class Pieces:
 
 
 def merge_table(ranks: dict[bytes, int]) -> tuple:
-    """(left << 20 | right, merged) for every split of a token into two tokens, as arrays."""
+    """(left << 20 | right, merged, hazard) for every split of a token into two tokens, as arrays.
+
+    A merged token is a hazard if some pair that holds it has a lesser rank than it.
+    """
     import numpy as np
 
     pairs, merged = array("q"), array("i")
@@ -106,7 +161,23 @@ def merge_table(ranks: dict[bytes, int]) -> tuple:
             if a is not None and b is not None:
                 pairs.append(a << 20 | b)
                 merged.append(rank)
-    return np.frombuffer(pairs, np.int64), np.frombuffer(merged, np.int32)
+    pair, to = np.frombuffer(pairs, np.int64), np.frombuffer(merged, np.int32)
+    left, right = pair >> 20, pair & ((1 << 20) - 1)
+    return pair, to, np.isin(to, np.concatenate([left[to < left], right[to < right]]))
+
+
+def bounded(words: list[bytes], room: int, most: int) -> Iterator[list[bytes]]:
+    """Groups of words whose squared lengths come to ``room`` at most, or of one word."""
+    group: list[bytes] = []
+    size = 0
+    for word in words:
+        if group and (size + len(word) ** 2 > room or len(group) >= most):
+            yield group
+            group, size = [], 0
+        group.append(word)
+        size += len(word) ** 2
+    if group:
+        yield group
 
 
 class Codec:
@@ -119,9 +190,10 @@ class Codec:
         self.ranks, self.cut = ranks, Pieces(pattern, fast)
         self.known: dict[str, tuple[bytes, bytes]] = {}  # piece: ids, decoded bytes
         self.byte = np.array([ranks.get(bytes([i]), -1) for i in range(256)], dtype=np.int32)
-        pairs, merged = merges or merge_table(ranks)
+        pairs, merged, hazard = merges or merge_table(ranks)
+        self.starts: set[bytes] = set()  # of tokens; filled when a long piece is met
         self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
-        self._load("merges", pair=pairs, merged=merged)
+        self._load("merges", pair=pairs, merged=merged, hazard=hazard)
         self._load("vocabulary", id=np.fromiter(ranks.values(), np.int32), hex=[t.hex() for t in ranks])
 
     def close(self) -> None:
@@ -141,67 +213,66 @@ class Codec:
 
     def learn(self, pieces: list[str]) -> None:
         """Encodes pieces and decodes their ids again, by queries."""
-        import numpy as np
-
-        words = [(p, p.encode("utf-8", "surrogatepass")) for p in pieces]
-        found: dict[int, bytes] = {}
-        open_, size = [], 0
-        for i, (_, raw) in enumerate(words):
+        cuts = []
+        for piece in pieces:
+            raw = piece.encode("utf-8", "surrogatepass")
+            cuts.append([raw] if raw in self.ranks or len(raw) <= SHORT else self.segments(raw))
+        found = {}
+        short, long = [], []
+        for raw in dict.fromkeys(x for cut in cuts for x in cut):
             if (rank := self.ranks.get(raw)) is not None:
-                found[i] = struct.pack("<I", rank)
-            elif len(raw) > LONG:
-                found[i] = b"".join(struct.pack("<I", x) for x in self.merge_long(raw))
+                found[raw] = struct.pack("<I", rank)
             else:
-                open_.append(i)
-                size += len(raw)
-        if open_:
-            raw = b"".join(words[i][1] for i in open_)
-            sizes = np.fromiter((len(words[i][1]) for i in open_), np.int32, len(open_))
-            starts = np.cumsum(sizes) - sizes
-            w = np.repeat(np.array(open_, dtype=np.int32), sizes)
-            pos = (np.arange(size) - np.repeat(starts, sizes)).astype(np.int32)
-            self._load("base", w=w, pos=pos, id=self.byte[np.frombuffer(raw, np.uint8)])
-            got = self.con.execute(_CONTRACT).fetchnumpy()
-            ids = np.asarray(got["id"]).astype("<u4")
-            first = np.flatnonzero(np.diff(np.asarray(got["w"]), prepend=-1))
-            data = ids.tobytes()
-            for i, a, b in zip(np.asarray(got["w"])[first].tolist(), (first * 4).tolist(), (np.append(first[1:], len(ids)) * 4).tolist()):
-                found[i] = data[a:b]
-        order = range(len(words))
-        plain = self.decode([found[i] for i in order])
-        for i in order:
-            self.known[words[i][0]] = found[i], plain[i]
-
-    def merge_long(self, raw: bytes) -> list[int]:
-        """The leftmost pair of least rank first, by a heap over a linked list of tokens."""
-        ranks, n = self.ranks, len(raw)
-        end = list(range(1, n + 1))  # end of the token that starts here; 0 once it is merged away
-        before = list(range(-1, n - 1))
-        heap = []
-
-        def offer(at: int) -> None:
-            mid = end[at]
-            if mid < n and (rank := ranks.get(raw[at : end[mid]])) is not None:
-                heapq.heappush(heap, (rank, at, mid, end[mid]))
-
-        for i in range(n):
-            offer(i)
-        while heap:
-            _, at, mid, stop = heapq.heappop(heap)
-            if end[at] != mid or end[mid] != stop:
-                continue
-            end[at], end[mid] = stop, 0
-            if stop < n:
-                before[stop] = at
-            offer(at)
-            if before[at] >= 0:
-                offer(before[at])
-        out, at = [], 0
-        while at < n:
-            out.append(ranks[raw[at : end[at]]])
-            at = end[at]
+                (short if len(raw) <= SHORT else long).append(raw)
+        for group in bounded(short, 2 * ROOM, CHUNK):
+            self._contract(group, found, _CONTRACT, None)
+        for group in bounded(long, 2 * ROOM, CHUNK):
+            rounds = max(2, ROOM // sum(map(len, group)))
+            self._contract(group, found, _CONTRACT_LONG.format(rounds=rounds), rounds)
+        ids = [b"".join(map(found.__getitem__, cut)) for cut in cuts]
+        for piece, own, plain in zip(pieces, ids, self.decode(ids)):
+            self.known[piece] = own, plain
+
+    def segments(self, raw: bytes) -> list[bytes]:
+        """The piece, cut wherever no token of the vocabulary that occurs in it reaches across: no merge can either."""
+        if not self.starts:
+            self.starts = {token[:i] for token in self.ranks for i in range(2, len(token) + 1)}
+        starts, ranks = self.starts, self.ranks
+        out, begin, reach = [], 0, 0
+        for at in range(len(raw)):
+            if reach <= at and at > begin:
+                out.append(raw[begin:at])
+                begin = at
+            end = at + 2
+            while (part := raw[at:end]) in starts and len(part) == end - at:
+                if end > reach and part in ranks:
+                    reach = end
+                end += 1
+        out.append(raw[begin:])
         return out
 
+    def _contract(self, words: list[bytes], found: dict[bytes, bytes], query: str, rounds: int | None) -> None:
+        """Adds the ids of each word; what a limited query leaves open is taken up again."""
+        import numpy as np
+
+        sizes = np.fromiter(map(len, words), np.int32, len(words))
+        w = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        pos = (np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+        ids = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        while len(w):
+            self._load("base", w=w, pos=pos, id=ids)
+            got = self.con.execute(query).fetchnumpy()
+            w, pos, ids = (np.asarray(got[c]).astype(np.int32) for c in ("w", "pos", "id"))
+            if rounds is None:
+                done = np.ones(len(w), dtype=bool)
+            else:
+                done = np.asarray(got["it"]) < rounds
+            own, data = w[done], ids[done].astype("<u4").tobytes()
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            for i, a, b in zip(own[first].tolist(), (first * 4).tolist(), (np.append(first[1:], len(own)) * 4).tolist()):
+                found[words[i]] = data[a:b]
+            w, pos, ids = w[~done], pos[~done], ids[~done]
+
     def decode(self, many: list[bytes]) -> list[bytes]:
         """Bytes of many id lists (little-endian unsigned 32-bit), by ordered aggregation."""
         import numpy as np

@@ -43,15 +43,39 @@ def test_random_texts_by_the_library(ranks, reader):
         assert plain == text.encode()
 
 
-def test_the_heap_and_the_queries_agree(ranks):
-    codec = bpe.Codec(ranks, public_tokenizers.PATTERN, True)
+def heap(ranks, raw):
+    """The same rule one merge at a time, for comparison."""
+    parts = [raw[i : i + 1] for i in range(len(raw))]
+    while True:
+        best = min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=None)
+        if best is None:
+            return [ranks[p] for p in parts]
+        parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+
+
+def test_both_queries_follow_the_rule(ranks, monkeypatch):
     draw = random.Random(3)
-    for _ in range(60):
-        piece = "".join(draw.choice("abcdeé") for _ in range(draw.randrange(2, 120)))
-        codec.learn([piece])
-        ids = codec.known[piece][0]
-        raw = piece.encode()
-        assert raw in ranks or bpe._list(ids).tolist() == codec.merge_long(raw)
+    for short, room in ((64, 2_000_000), (4, 2_000_000), (4, 600)):
+        monkeypatch.setattr(bpe, "SHORT", short)
+        monkeypatch.setattr(bpe, "ROOM", room)
+        codec = bpe.Codec(ranks, public_tokenizers.PATTERN, True)
+        alphabets = ("abcdeé", "ab", "Aa", "的一是在不了有和人这", "étionsment", "=-")
+        pieces = list({"".join(draw.choice(a) for _ in range(draw.randrange(2, 150))) for a in alphabets for _ in range(25)})
+        codec.learn(pieces)
+        for piece in pieces:
+            raw = piece.encode()
+            assert raw in ranks or bpe._list(codec.known[piece][0]).tolist() == heap(ranks, raw), piece
+
+
+def test_many_long_pieces_stay_within_memory(ranks, reader):
+    """20,000 distinct pieces of 240 bytes each, and pieces that repeat one pattern for long."""
+    draw = random.Random(4)
+    signs = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    codec = bpe.Codec(ranks, public_tokenizers.PATTERN, True)
+    texts = [" ".join("".join(draw.choices(signs, k=80)) for _ in range(20_000)), "ab" * 40_000, "A" * 200_000, "的一是" * 20_000, "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=60_000))]
+    for text, (ids, plain) in zip(texts, codec.encode(texts)):
+        assert bpe._list(ids).tolist() == reader.encode_ordinary(text)
+        assert plain == text.encode()
 
 
 def test_round_trip(spark, odd):
