@@ -11,7 +11,11 @@ driver; predictions read whole texts and nothing else.
 
 Defined results: ``und`` with score 0 if the text is null, has no letters, or
 nothing could be learned; a label with few documents is learned from those;
-repeated rows each give their row; an empty table gives an empty table.
+repeated rows each give their row; an empty table gives an empty table; of
+equally probable labels the first in sorted order is said.  A very long text is
+read as its segments, ABREAST at a time.  Only the named columns are read, so
+others cannot clash.  The labels themselves, one output of the network each,
+are held by the driver.
 """
 
 from __future__ import annotations
@@ -101,10 +105,16 @@ class Network:
         x = self._read("f", columns).reshape(-1, k) @ self.w["out"][:k]
         x += self._read("b", columns).reshape(-1, k) @ self.w["out"][k:]
         x += self.w["bias"]
-        np.exp(np.minimum(x, 60, out=x), out=x)
+        if self.steepest() > 60:  # else no exponential can leave the range
+            x -= x.max(axis=1, keepdims=True)
+        np.exp(x, out=x)
         x /= x @ np.ones((x.shape[1], 1), dtype=np.float32)
         return x.reshape(shape)
 
+    def steepest(self) -> float:
+        """No label's logit is farther from zero, as states lie between -1 and 1."""
+        return float((np.abs(self.w["out"]).sum(axis=0) + np.abs(self.w["bias"])).max())
+
     def gradients(self, segments: np.ndarray, lengths: np.ndarray, of: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Loss over all positions and its gradients, by backpropagation through time in both directions."""
         w, k = self.w, self.hidden

@@ -7,7 +7,9 @@ white space and start with the vocabulary's word mark; a character that no
 piece starts with counts as its UTF-8 bytes (byte fallback).
 
 Defined results: a null or empty text has 0 words and 0 tokens; repeated rows
-each give their row; an empty table gives an empty table.
+each give their row; an empty table gives an empty table.  Of pieces that start
+alike the longest is taken, so ties cannot arise.  A word of any length takes
+one pass.  Only the named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
