@@ -25,7 +25,9 @@ an identifier the first by turn and seq counts, others have status
 ``duplicate``; a result without a call is an ``orphan``, a call without a
 result ``unanswered``; calls that wait for each other have status ``cycle``;
 an empty table gives an empty table.  A conversation of any size is never
-gathered in one row or task.
+gathered in one row or task; a text of any length is one row's value.  Of rows
+that tie by turn and seq the one with the least hash counts as first, and equal
+rows count as one.  Only the named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -75,10 +77,11 @@ def _explicit(turns: DataFrame, schemas: dict) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
-def _implicit(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _implicit(turns: DataFrame, schemas: dict) -> tuple[DataFrame, DataFrame]:
     """User turns as calls of respond and the turns right after them, if the assistant's, as results; by identifier ``turn:<n>``."""
     text = F.coalesce("text", F.lit(""))
-    calls = turns.where("role = 'user' AND turn IS NOT NULL").select("conv_id", "turn", "row", F.lit(1).alias("seq"), F.concat(F.lit("turn:"), F.col("turn").cast("string")).alias("id"), F.lit("respond").alias("name"), F.concat(F.lit('{"text":'), quote(text), F.lit("}")).alias("arguments"), F.lit(True).alias("args_valid"))
+    calls = turns.where("role = 'user' AND turn IS NOT NULL").select("conv_id", "turn", "row", F.lit(1).alias("seq"), F.concat(F.lit("turn:"), F.col("turn").cast("string")).alias("id"), F.lit("respond").alias("name"), F.concat(F.lit('{"text":'), quote(text), F.lit("}")).alias("arguments"))
+    calls = calls.withColumn("args_valid", _valid(F.col("name"), F.try_parse_json("arguments"), schemas))
     results = turns.where("role = 'assistant' AND turn IS NOT NULL").select("conv_id", "turn", "row", F.lit(1).alias("seq"), F.concat(F.lit("turn:"), (F.col("turn") - 1).cast("string")).alias("id"), quote(text).alias("content"))
     return calls, results
 
@@ -91,34 +94,38 @@ def _first(df: DataFrame) -> DataFrame:
 def _levels(calls: DataFrame, first_call: DataFrame, first_result: DataFrame) -> DataFrame:
     """conv_id, id, level, after, waits: how many results stand before a call, along the longest chain of references, and the last place of those it names.
 
-    Rounds settle the calls whose references are settled; each is written to
-    the shared folder.  What is left when a round settles nothing is a cycle.
+    Only calls that name results, and those named, take part.  A round hands the
+    places settled by the one before to the calls that name them and settles
+    those that wait for nothing more; what it settles and what still waits are
+    written to the shared folder.  What is left when a round settles nothing is
+    a cycle or waits for one.
     """
-    refs = cut(calls.where(F.col("id").isNotNull() & F.col("arguments").contains("$result:")).select("conv_id", "id", F.explode(F.expr(f"regexp_extract_all(arguments, '{_REFERENCE}', 1)")).alias("ref")).distinct())
-    known = calls.where("id IS NOT NULL").select("conv_id", "id").distinct()
-    refs = refs.join(known.withColumnRenamed("id", "ref"), ["conv_id", "ref"], "left_semi")
-    if refs.isEmpty():
-        return known.select("conv_id", "id", F.lit(0).alias("level"), F.lit(None).cast("long").alias("after"), F.lit(False).alias("waits")).limit(0)
-    refs = cut(refs)
     key = ["conv_id", "id"]
-    own = first_call.select(*key, F.col("first.turn").alias("call")).join(first_result.select(*key, F.col("first.turn").alias("result")), key, "left")
-    own = cut(own.select(*key, F.greatest("call", "result").alias("own")))
-    place = F.greatest("own", "after").alias("place")  # of the result; nulls do not count
-    waiting = cut(refs.select("conv_id", "id").distinct())
-    settled = cut(own.join(waiting, key, "left_anti").select(*key, F.lit(0).alias("level"), F.lit(None).cast("long").alias("after"), F.col("own").alias("place")))
-    left = waiting.count()
-    while left:
-        by = refs.join(waiting, ["conv_id", "id"], "left_semi").join(settled.select("conv_id", F.col("id").alias("ref"), "level", "place"), ["conv_id", "ref"], "left")
-        ready = by.groupBy("conv_id", "id").agg((F.max("level") + 1).alias("level"), F.max("place").alias("after"), F.count_if(F.col("level").isNull()).alias("open")).where("open = 0")
-        ready = ready.join(own, key).select(*key, "level", "after", place)
-        settled2 = cut(settled.unionByName(ready))
-        waiting2 = cut(waiting.join(settled2, ["conv_id", "id"], "left_anti"))
-        drop(settled, waiting)
-        settled, waiting, before = settled2, waiting2, left
-        left = waiting.count()
-        if left == before:
+    refs = calls.where(F.col("id").isNotNull() & F.col("arguments").contains("$result:")).select(*key, F.explode(F.expr(f"regexp_extract_all(arguments, '{_REFERENCE}', 1)")).alias("ref")).distinct()
+    refs = cut(refs.join(first_call.select("conv_id", F.col("id").alias("ref")), ["conv_id", "ref"], "left_semi"))
+    nothing = F.lit(None).cast("long")
+    if refs.isEmpty():
+        return refs.select(*key, F.lit(0).alias("level"), nothing.alias("after"), F.lit(False).alias("waits"))
+    named = refs.select("conv_id", F.col("ref").alias("id")).union(refs.select(*key)).distinct()
+    own = first_call.select(*key, F.col("first.turn").alias("call")).join(named, key, "left_semi").join(first_result.select(*key, F.col("first.turn").alias("result")), key, "left")
+    own = own.select(*key, F.greatest("call", "result").alias("own"))
+    waiting = refs.groupBy(*key).agg(F.count("*").alias("open"))
+    all_ = cut(own.join(waiting, key, "left").select(*key, "own", F.lit(0).alias("level"), nothing.alias("after"), F.coalesce("open", F.lit(0).cast("long")).alias("open")))
+    fresh, state, done = all_.where("open = 0"), all_.where("open > 0"), []
+    while True:
+        place = F.greatest("own", "after").alias("place")  # of the result; nulls do not count
+        told = refs.join(fresh.select("conv_id", F.col("id").alias("ref"), "level", place), ["conv_id", "ref"])
+        told = told.groupBy(*key).agg((F.max("level") + 1).alias("_level"), F.max("place").alias("_place"), F.count("*").alias("_told"))
+        now = cut(state.join(told, key, "left").select(*key, "own", F.greatest("level", "_level").alias("level"), F.greatest("after", "_place").alias("after"), (F.col("open") - F.coalesce("_told", F.lit(0))).alias("open")))
+        fresh, old, state = cut(now.where("open = 0")), state, now.where("open > 0")
+        drop(old)
+        if fresh.isEmpty():
             break
-    return settled.where("level > 0").select("conv_id", "id", "level", "after", F.lit(False).alias("waits")).unionByName(waiting.select("conv_id", "id", F.lit(0).alias("level"), F.lit(None).cast("long").alias("after"), F.lit(True).alias("waits")))
+        done.append(fresh)
+    out = state.select(*key, F.lit(0).alias("level"), nothing.alias("after"), F.lit(True).alias("waits"))
+    for part in done:
+        out = out.unionByName(part.select(*key, "level", "after", F.lit(False).alias("waits")))
+    return out
 
 
 def link(conversations: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
@@ -129,7 +136,7 @@ def link(conversations: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     special = turns.where("role = 'tool' OR role = 'assistant' AND instr(text, '<tool_call>') > 0").select("conv_id").distinct()
     plain = turns.join(special, turns["conv_id"].eqNullSafe(special["conv_id"]), "left_anti")
     # written once: what follows reads them several times
-    calls, results = (cut(a.unionByName(b)) for a, b in zip(_explicit(turns, schemas), _implicit(plain)))
+    calls, results = (cut(a.unionByName(b)) for a, b in zip(_explicit(turns, schemas), _implicit(plain, schemas)))
     first_call, first_result = _first(calls), _first(results)
     levels = _levels(calls, first_call, first_result)
     key = ["conv_id", "id"]

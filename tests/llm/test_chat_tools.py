@@ -1,4 +1,6 @@
 import json
+import random
+import re
 
 from compare import assert_same
 
@@ -71,6 +73,67 @@ def test_calls_come_after_the_results_they_name(spark):
     assert [turns["call", c] for c in ("c1", "c3", "c4", "c5")] == [1, 2, 6, 7] and turns["result", "c4"] == 6
 
 
+def plain(rows, tools):
+    """{(conv, turn, seq, kind): (call_id, status, args_valid, order_turn, depth)} of calls and results, by loops over one conversation after another."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        calls, results = [], []
+        for _, turn, role, text in sorted(r for r in rows if r[0] == conv):
+            if role == "assistant":
+                calls += [(turn, n + 1, json.loads(b)) for n, b in enumerate(re.findall("(?s)<tool_call>(.*?)</tool_call>", text))]
+            elif role == "tool":
+                results.append((turn, 1, json.loads(text)["tool_call_id"]))
+        first, answer = {}, {}
+        for turn, seq, c in calls:
+            first.setdefault(c["id"], (turn, seq))
+        for turn, seq, i in results:
+            answer.setdefault(i, (turn, seq))
+        names = {i: set() for i in first}
+        for _, _, c in calls:
+            names[c["id"]] |= {v[8:] for v in c["arguments"].values() if isinstance(v, str) and v.startswith("$result:")} & set(first)
+        level, after = {}, {}
+        while ready := [i for i in first if i not in level and names[i] <= set(level)]:
+            for i in ready:
+                level[i] = max((level[j] + 1 for j in names[i]), default=0)
+                after[i] = max((max(first[j][0], answer.get(j, (0,))[0], after[j]) for j in names[i]), default=-1)
+        for turn, seq, c in calls:
+            i = c["id"]
+            status = "cycle" if i not in level else "duplicate" if (turn, seq) != first[i] else "linked" if i in answer else "unanswered"
+            schema, given = tools.get(c["name"]), c["arguments"]
+            kinds = {"BIGINT": int, "NUMBER": (int, float), "STRING": str}
+            valid = schema is not None and set(given) <= set(schema) and all(isinstance(given[p], kinds[k]) if p in given else not needed for p, (k, needed) in schema.items())
+            out[conv, turn, seq, "call"] = (i, status, valid, max(turn, after.get(i, -1)), 1 + 2 * level.get(i, 0))
+        for turn, seq, i in results:
+            status = "orphan" if i not in first else "duplicate" if (turn, seq) != answer[i] else "linked"
+            out[conv, turn, seq, "result"] = (i, status, None, max(turn, first.get(i, (-1,))[0], after.get(i, -1)), 2 + 2 * level.get(i, 0))
+    return out
+
+
+def test_explicit_calls_by_brute_force(spark):
+    draw = random.Random(8)
+    rows = []
+    for conv in range(60):
+        ids = [f"c{n}" for n in range(draw.randrange(1, 9))]
+        for turn in range(draw.randrange(2, 9)):
+            if draw.random() < 0.6:
+                made = [call(draw.choice(ids), draw.choice(["add", "say", "none"]), **draw.choice([{"text": f"$result:{draw.choice(ids)}"}, {"a": 1, "b": 2.5}, {"a": "x"}, {"text": "plain"}, {"a": 2}, {"text": f"$result:{draw.choice(ids)}", "b": f"$result:{draw.choice(ids)}"}])) for _ in range(draw.randrange(1, 4))]
+                rows.append((conv, turn, "assistant", " and ".join(made)))
+            else:
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": draw.choice([*ids, "nobody"]), "content": draw.random()})))
+    found = chat_tools.link(frame(spark, rows), TOOLS).where("kind <> 'message'").collect()
+    expected = plain(rows, TOOLS)
+    explicit = {r[0] for r in rows if r[2] == "tool" or "<tool_call>" in r[3]}
+    got = {(r["conv_id"], r["turn"], r["seq"], r["kind"]): (r["call_id"], r["status"], r["args_valid"], r["order_turn"], r["depth"]) for r in found if r["conv_id"] in explicit}
+    assert got == expected
+    order = sorted(found, key=lambda r: (r["conv_id"], r["order_turn"], r["depth"], r["turn"], r["seq"]))
+    place = {(r["conv_id"], r["kind"], r["call_id"]): n for n, r in enumerate(order) if r["status"] == "linked"}
+    for r in found:
+        if r["kind"] == "call" and r["status"] == "linked":
+            at = place[r["conv_id"], "call", r["call_id"]]
+            assert all(place.get((r["conv_id"], "result", i), -1) < at for i in re.findall(r"\$result:(\w+)", r["json"]))
+            assert at < place.get((r["conv_id"], "result", r["call_id"]), at + 1)
+
+
 def test_odd_rows(spark):
     rows = [(1, 0, "user", None), (1, 1, "assistant", "x" * 200_000), (1, 1, "assistant", "y"), (1, 0, "user", None), (None, None, None, None), (2, None, "user", "a"), (3, 0, "user", 'q"\\\n\t\x01 ü🙂'), (None, 1, "user", "b")]
     out = chat_tools.link(frame(spark, rows)).collect()
