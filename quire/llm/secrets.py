@@ -1,11 +1,20 @@
 """Secret scans by assignment-aware lexing.
 
-Source and configuration syntax is parsed into name-literal pairs, constants
-are propagated to the names they are assigned to, and literals are scored by
-the sensitivity of those names.  Three base patterns always count as well.
+A lexer cuts source and configuration text into strings, comments, operators,
+brackets, line ends and runs of anything else.  Assignments (``=``, ``:=``,
+``?=``, ``=>``, ``:`` and elements of markup, but not comparisons) become
+name-literal pairs: a target is a word, a quoted word, an owner with
+subscripts, or a name before its type.  Constants are propagated to the names
+they are assigned to, and literals are scored by the sensitivity of those
+names.  What a comment or a string holds is parsed as well, on its own: its
+names are no constants of the code around it.  Three base patterns always
+count too.
 
 Defined results: a null text counts as empty; an empty text has no spans;
-repeated rows each give their row; an empty table gives an empty table.
+repeated rows each give their row; an empty table gives an empty table; of a
+literal that several names hold (a tie) there is one span with the best score.
+Each step is linear in the length of the text, so very long texts, names and
+lines are read whole.  Only the named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -31,14 +40,23 @@ def _either(word: str) -> str:
 _ASSIGN = re.compile("(" + "|".join(map(_either, ("password", "passwd", "secret", "token"))) + "|" + _either("api") + "_?" + _either("key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-_SEPARATOR = re.compile(r":=|=>|[=:]")
-# these three read the reversed text on from a separator, so that a name of any length takes one pass
-_NAME = re.compile(r"""[ \t]*+(["']?)([A-Za-z0-9_.$-]*+(?<=[A-Za-z_$]))\1(?![A-Za-z0-9_.$-])""")
-_SUBSCRIPT = re.compile(r"""[ \t]*+\][ \t]*+(?:(["'])([^"'\n\[\]]++)\1|([A-Za-z0-9_.$-]++))[ \t]*+\[""")
-_OWNER = re.compile(r"[ \t]*+([A-Za-z0-9_.$-]*+)")
+# what no quote, comment, operator, bracket or line end begins is one run
+_TOKEN = re.compile(
+    r"""(?P<line>\r?\n)|(?P<text>\"{3}(?:[^\\]|\\.)*?\"{3}|'{3}(?:[^\\]|\\.)*?'{3}|"(?:[^"\\\n]|\\.)*+(?:"|$)|`(?:[^`\\\n]|\\.)*+(?:`|$)|(?:(?<![A-Za-z0-9])|(?<=(?<![A-Za-z0-9])[rbfuRBFU]))'(?:[^'\\\n]|\\.)*+(?:'|$))"""
+    r"""|(?P<note>(?<![^\s;{}])\#|(?<![:/])//|/\*)|(?P<over>\*/)|(?P<other>&'[A-Za-z_]++(?!')|[=!]==?|=~|[<>+*/%^&|-]=|::|->)|(?P<sets>:=|=>|\?\?=|\|\|=|\?=|=|:)|(?P<mark>[\[\](){};,])|(?P<run>(?:[^\r\n"'`\#/*=!<>+%^&|:?\[\](){};,-]|(?<=[A-Za-z0-9])[-'/](?=[A-Za-z0-9]))++)|(?P<sign>.)""",
+    re.S | re.M,
+)
+# these read reversed text, so that a name of any length takes one pass
+_NAME = re.compile(r"[ \t]*+([A-Za-z0-9_.$-]*+)")
 _TYPE = re.compile(r"""[ \t]*+[A-Za-z_&*"'\[][A-Za-z0-9_.:\[\]<>|,&*?"' \t]*+""")
-_VALUE = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|([A-Za-z0-9+/_.=$-]+))""")
+_OPEN = re.compile(r"[ \t]*+(?:\([ \t\r\n]*+)*+")
+_NEXT = re.compile(r"[ \t]*+(?:(?:\\?\r?\n|\()[ \t]*+)*+(?=[rbfuRBFU]{0,2}[\"'`])")
+_QUOTED = re.compile(r"""[rbfuRBFU]{0,2}(?:"{3}((?:[^\\]|\\.)*?)"{3}|'{3}((?:[^\\]|\\.)*?)'{3}|"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`((?:[^`\\\n]|\\.)*+)`)""", re.S)
+_BARE = re.compile(r"""([A-Za-z0-9+/_.$-]++={0,2}+)(?!["'])""")
 _IDENT = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$]*\Z")
+_ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*+)>[ \t]*+([^<>\s]++)[ \t]*+</\1>")
+#: every name that has a score holds one of these
+_HINT = re.compile("pass|pwd|secret|token|key|credential|auth|signature|cookie|session", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _STRONG = {"password", "passwd", "pwd", "passphrase", "secret", "token", "apikey", "credential", "credentials"}
 _PAIRS = {("api", "key"), ("access", "key"), ("private", "key"), ("auth", "key"), ("encryption", "key"), ("signing", "key"), ("client", "secret")}
@@ -62,16 +80,115 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 4) * (1.0 if classes > 1 else 0.4)
 
 
-def _target(back: str, at: int) -> str | None:
-    """The name that ends where the reversed text is at: a word, a quoted word, or an owner and its subscripts joined by dots."""
-    keys = []
-    while m := _SUBSCRIPT.match(back, at):
-        keys.append((m[2] or m[3])[::-1])
-        at = m.end()
-    if keys:
-        return ".".join([_OWNER.match(back, at)[1][::-1], *reversed(keys)]).lstrip(".")
-    m = _NAME.match(back, at)
-    return m and m[2][::-1]
+def _last_word(text: str) -> str:
+    """The word that ends the text but for blanks; '' if it does not begin as a name does."""
+    word = _NAME.match(text[::-1])[1][::-1].lstrip("-.")
+    return word if word and not word[0].isdigit() else ""
+
+
+def _inside(token: str) -> str:
+    """What a string token holds; its prefix is not part of the token."""
+    n = 3 if len(token) >= 6 and token[:3] == token[0] * 3 else 1
+    return token[n : -n if token.endswith(token[0] * n) and len(token) >= 2 * n else None]
+
+
+class _Statement:
+    """The tokens of a statement so far, as far as a target can need them."""
+
+    def __init__(self):
+        self.tokens: list[tuple[str, str]] = []  # kind, text
+
+    def target(self) -> str:
+        """The name that the tokens end with: a word, a quoted word, or an owner and its subscripts joined by dots."""
+        tokens, at, keys = self.tokens, len(self.tokens) - 1, []
+        while at >= 0 and tokens[at][0] == "run" and not tokens[at][1].strip():
+            at -= 1
+        while at >= 2 and tokens[at][1] == "]" and tokens[at - 2][1] == "[":
+            kind, text = tokens[at - 1]
+            keys.append(_inside(text) if kind == "text" else text.strip())
+            at -= 3
+        if at < 0:
+            return ".".join(reversed(keys))
+        kind, text = tokens[at]
+        if kind == "text" and not keys:
+            word = _inside(text)
+            return word if "\n" not in word else ""
+        owner = _last_word(text) if kind == "run" else ""
+        return ".".join([*([owner] if owner else []), *reversed(keys)])
+
+
+def _literal(text: str, at: int, sign: str) -> tuple[int, int, bool] | None:
+    """(start, end, quoted) of the literal that stands at a place after an assignment's sign."""
+    m = _NEXT.match(text, at) if sign != ":" else None
+    quoted = _QUOTED.match(text, m.end() if m else _OPEN.match(text, at).end())
+    if quoted:
+        return (*quoted.span(quoted.lastindex), True)
+    bare = _BARE.match(text, _OPEN.match(text, at).end())
+    return bare and (*bare.span(1), False)
+
+
+def _scan(text: str, offset: int, out: list, within: list | None) -> None:
+    """Adds (name, literal, start, end) of a text to ``out``, and the strings whose inside is still to be read to ``within``."""
+    code: dict[str, tuple[str, int, int]] = {}
+    constants, statement, typed, depth = code, _Statement(), None, 0
+    noted = ""  # the sign of the comment that is being read
+    at, size = 0, len(text)
+    while at < size:
+        m = _TOKEN.match(text, at)
+        kind, token, at = m.lastgroup, m[0], m.end()
+        if kind == "line":
+            if noted in ("#", "//"):
+                constants, noted = code, ""
+            if not depth:
+                statement, typed = _Statement(), None
+        elif kind == "over":
+            if noted == "/*":
+                constants, noted = code, ""
+        elif kind == "note":
+            if not noted:
+                constants, noted = {}, token  # a comment's names are its own
+                statement, typed = _Statement(), None
+        elif kind == "mark":
+            if token in "(":
+                depth += 1
+            elif token in ")" and depth:
+                depth -= 1
+            if token in "{};":
+                statement, typed, depth = _Statement(), None, 0
+            else:
+                statement.tokens.append((kind, token))
+        elif kind == "sets":
+            name = statement.target()
+            names = [name] if name else []
+            if token == ":":
+                typed = name and (name, at)
+            else:
+                if typed and token == "=" and _TYPE.fullmatch(text, typed[1], m.start()):
+                    names.append(typed[0])
+                typed = None
+            statement = _Statement()
+            value = names and _literal(text, at, token)
+            if not value:
+                continue
+            start, end, quoted = value
+            literal = text[start:end]
+            found = (literal, offset + start, offset + end)
+            if not quoted:
+                at = end
+                if literal in constants:
+                    found = constants[literal]
+                elif _IDENT.match(literal) and not any(map(str.isdigit, literal)):
+                    statement.tokens.append(("run", literal))
+                    continue  # a name that stands for nothing known, or a type
+                statement.tokens.append(("run", literal))
+            for name in names:
+                constants[name] = found
+                out.append((name, *found))
+        else:
+            if kind == "text" and within is not None:
+                within.append((m.start(), at))
+            if kind != "run" or token.strip():
+                statement.tokens.append((kind, token))
 
 
 def pairs(text: str) -> list[tuple[str, str, int, int]]:
@@ -79,33 +196,15 @@ def pairs(text: str) -> list[tuple[str, str, int, int]]:
 
     In ``a: b = literal`` both names are targets, as b may be a's type.
     """
-    constants: dict[str, tuple[str, int, int]] = {}
-    out = []
-    back, typed = text[::-1], None  # the name before the last colon, and where its type begins
-    for sep in _SEPARATOR.finditer(text):
-        name = _target(back, len(text) - sep.start())
-        names = [name] if name else []
-        if sep[0] == ":":
-            if "::" not in text[max(0, sep.start() - 1) : sep.end() + 1]:  # not within a type's path
-                typed = name and (name, sep.end())
-        else:
-            if typed and sep[0] == "=" and _TYPE.fullmatch(text, typed[1], sep.start()):
-                names.append(typed[0])
-            typed = None
-        value = names and _VALUE.match(text, sep.end())
-        if not value:
-            continue
-        group = value.lastindex
-        literal = value[group]
-        if group == 3 and (known := constants.get(literal)):
-            found = known
-        elif group == 3 and _IDENT.match(literal) and not re.search("[0-9]", literal):
-            continue  # a name that stands for nothing known
-        else:
-            found = (literal, value.start(group), value.end(group))
-        for name in names:
-            constants[name] = found
-            out.append((name, *found))
+    out: list[tuple[str, str, int, int]] = []
+    within: list[tuple[int, int]] = []
+    _scan(text, 0, out, within)
+    for start, end in within:  # strings within strings are literals only
+        inside = text[start + 1 : end]
+        if "=" in inside or ":" in inside:
+            _scan(inside, start + 1, out, None)
+    if "</" in text:
+        out += [(m[1], m[2], *m.span(2)) for m in _ELEMENT.finditer(text)]
     return out
 
 
@@ -116,7 +215,7 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
         out += [("access", m.start(), m.end(), 1.0) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     out += [("hex", m.start(), m.end(), 1.0) for m in _HEX.finditer(text)]
     best: dict[tuple[int, int], float] = {}
-    if "=" in text or ":" in text:
+    if ("=" in text or ":" in text or "</" in text) and _HINT.search(text):
         for name, literal, start, end in pairs(text):
             if (weight := name_score(name)) and (score := weight * literal_score(literal)) >= THRESHOLD:
                 best[start, end] = max(score, best.get((start, end), 0.0))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import time
 
@@ -52,6 +53,48 @@ def test_names_of_any_length_subscripts_and_types():
         assert not [s for s in secrets.find(f'{target}"{value}"\n') if s[0] == "literal"], target
 
 
+def test_syntax_that_needs_a_lexer():
+    value = "a8Fk29xLmQ7pZ1vB"
+    for text in (f'credential = (\n    "{value}"\n)', f'credential = \\\n  "{value}"', f'a = "{value}"\nif a == "b":\n    pass\ncredential = a', f"# pwd = {value}", f"/* pwd = '{value}' */", f"don't use pwd = {value}, it's known", f'dsn = "Server=x;Pwd={value};"', f"<passphrase>{value}</passphrase>", f"pwd ?= {value}", f"pwd := `{value}`", f"'pwd' => '{value}'", f'a = b"{value}"\npwd=a', f'pwd = """{value}"""', "pwd" + " " * 100 + f'= "{value}"', "x" * 70 + f'_credential = "{value}"'):
+        at = text.index(value)
+        assert [s[:3] for s in secrets.find(text) if s[0] == "literal"] == [("literal", at, at + len(value))], text
+    for text in (f'if credential == "{value}":', f'if credential != "{value}":', f'if pwd <= "{value}":', f'title = "pwd"\nother = "{value}"', f'# a = "{value}"\npwd = a', f'pwd()\nx = "{value}"', f'title = "{value}"  # pwd'):
+        assert not [s for s in secrets.find(text) if s[0] == "literal"], text
+
+
+def test_added_spans_by_construction():
+    """Programs are put together from assignments whose names and literals are known; the spans follow from those."""
+    draw = random.Random(6)
+    value = lambda: "".join(draw.choices("abcdefgh", k=5)) + "".join(draw.choices("XYZQRSTU", k=5)) + "".join(draw.choices("0123456789", k=6))
+    forms = ('{n} = "{v}"', "{n}: '{v}'", 'const {n} = "{v}";', '{n}: str = "{v}"', '"{n}": "{v}",', 'conf["{n}"] = "{v}"', "{n} := `{v}`", "{n} = (\n  '{v}'\n)", "<{n}>{v}</{n}>", "self.{n}={v}", "// {n} = '{v}'", '{n} => "{v}"')
+    for _ in range(300):
+        text, expected, held = "", set(), {}
+        for line in range(draw.randrange(1, 12)):
+            kind = draw.random()
+            if kind < 0.5:
+                sensitive = draw.random() < 0.5
+                name = draw.choice(["pwd", "db_pwd", "userCredential", "signing_key", "passphrase"] if sensitive else ["title", "colour", "host_name", "sizes"]) + ("" if sensitive else str(line))
+                form, v = draw.choice(forms), value()
+                part = form.format(n=name, v=v)
+                if sensitive:
+                    at = len(text) + part.index(v)
+                    expected.add((at, at + len(v)))
+            elif kind < 0.7:
+                name, v = f"const{line}", value()
+                part = f'{name} = "{v}"'
+                at = len(text) + part.index(v)
+                held[name] = (at, at + len(v))
+            elif kind < 0.8 and held:
+                name = draw.choice(sorted(held))
+                part = f"client_pwd = {name}"
+                expected.add(held[name])
+            else:
+                part = draw.choice(["It's plain prose, isn't it?", f'if pwd == "{value()}":', f'print("{value()}")', f"see {value()}", 'x = "it\'s"', "y = 'say \"no\"'", "# it's a note", "/* don't */"])
+            text += part + "\n"
+        found = {s[1:3] for s in secrets.find(text) if s[0] == "literal"}
+        assert found == expected, text
+
+
 def test_names_take_linear_time():
     begun = time.process_time()
     for text in ("a" * 1_000_000 + "=x", "a:" * 300_000, "a[b]" * 200_000 + "=x", '["=' * 200_000, "a::" * 200_000, "a: b " * 200_000 + "= x", " " * 1_000_000 + "=x", '"]=' * 200_000):
