@@ -10,7 +10,10 @@ are joined as whole sequences with the documents' sequences of that length.
 Defined results: a null text has no words and no hits; an item without words
 fits nowhere; an item without an id marks words but is not listed; documents
 that repeat with the same key and text each give their row; an empty benchmark
-leaves every document clean; an empty table gives an empty table.
+leaves every document clean; an empty table gives an empty table.  Of equal
+hashes in a window (a tie) documents keep the first and items all.  A text of
+any length is one row's array of words, linear in its length.  Only the named
+columns of both tables are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ from quire.llm._common import ascii_lower, cut, let
 SPAN = 13
 GRAM = 5
 WINDOW = SPAN - GRAM + 1
-#: fingerprints of the benchmark that are still broadcast (a row is some 300 bytes); more are joined by shuffling
-BROADCAST_ROWS = 100_000
+#: bytes of the benchmark's fingerprints, words included, that are still broadcast; more are joined by shuffling
+BROADCAST_BYTES = 48 << 20
 
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: as _BREAK in text that still has its upper-case letters
@@ -113,12 +116,17 @@ def _same(limit: Column, left: Column, right: Column, place) -> Column:
     return F.aggregate(steps, F.lit(0), lambda n, i: F.when((n == i) & (F.get(left, place(i, 0)) == F.get(right, place(i, 1))), n + 1).otherwise(n))
 
 
+def _shared(df: DataFrame, words: Column) -> DataFrame:
+    """The table, to be broadcast if the bytes of its words and 64 for each row stay within the bound."""
+    size = df.agg(F.sum(F.octet_length(words) + 64)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """key, text_hash, n_words, start, stop, item_id: where documents share 13 words, or a whole shorter item, with items."""
     items = cut(items.select(F.col(item_key).alias("item_id"), words_of(F.col(item_text)).alias("words")))
     prints = cut(_item_prints(items))
-    if prints.count() <= BROADCAST_ROWS:
-        prints = F.broadcast(prints)
+    prints = _shared(prints, F.array_join("item_around", " "))
     source = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     own = source.select("key", "text_hash", F.inline(_document_prints(F.col("text"))))
     met = own.join(prints, "hash").withColumn("around", F.split("around", " "))
@@ -130,8 +138,7 @@ def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     lengths = [r[0] for r in items.select(F.size("words").alias("n")).where(f"n BETWEEN 1 AND {SPAN - 1}").distinct().collect()]  # 12 at most
     if lengths:
         whole = cut(items.where(F.size("words").between(1, SPAN - 1)).select(F.array_join("words", " ").alias("words"), "item_id").distinct())
-        if whole.count() <= BROADCAST_ROWS:
-            whole = F.broadcast(whole)
+        whole = _shared(whole, F.col("words"))
 
         def runs(w: Column) -> Column:
             of = lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda j: F.struct(F.array_join(F.slice(w, j, n), " ").alias("words"), j.alias("start"), (j + n - 1).alias("stop"), F.size(w).alias("n_words")))).otherwise(F.array())
@@ -164,6 +171,6 @@ def digest(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, with all columns, that are not contaminated."""
-    bad = by_document(hits(docs, items, key, text)).where(_is_bad(F.col("n_hit"), F.col("n_words"))).select(F.col("key").alias("_bad"), F.col("text_hash").alias("_hash"))
+    """The documents, with all columns, that share no window with an item; one hit word is enough to go."""
+    bad = hits(docs, items, key, text).select(F.col("key").alias("_bad"), F.col("text_hash").alias("_hash")).distinct()
     return docs.join(bad, (F.xxhash64(docs[text]) == bad["_hash"]) & docs[key].eqNullSafe(bad["_bad"]), "left_anti")
