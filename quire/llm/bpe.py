@@ -30,7 +30,9 @@ import struct
 import sys
 import unicodedata
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,7 +49,7 @@ MEMO = 600_000
 
 _CONTRACT = """
 WITH RECURSIVE step(it, w, pos, id, npos, nid) AS (
-  SELECT 0::INTEGER, w, pos, id, lead(pos) OVER o, lead(id) OVER o FROM base WINDOW o AS (PARTITION BY w ORDER BY pos)
+  SELECT 0::INTEGER, w, pos, id, npos, nid FROM base
   UNION ALL
   SELECT s.it + 1, s.w, s.pos,
     CASE WHEN s.pos = b.pos THEN b.merged ELSE s.id END,
@@ -168,16 +170,13 @@ def merge_table(ranks: dict[bytes, int]) -> tuple:
 
 def bounded(words: list[bytes], room: int, most: int) -> Iterator[list[bytes]]:
     """Groups of words whose squared lengths come to ``room`` at most, or of one word."""
-    group: list[bytes] = []
-    size = 0
-    for word in words:
-        if group and (size + len(word) ** 2 > room or len(group) >= most):
-            yield group
-            group, size = [], 0
-        group.append(word)
-        size += len(word) ** 2
-    if group:
-        yield group
+    ends = list(accumulate(len(w) ** 2 for w in words))
+    at = 0
+    while at < len(words):
+        stop = bisect_right(ends, (ends[at - 1] if at else 0) + room)
+        stop = max(at + 1, min(stop, at + most))
+        yield words[at:stop]
+        at = stop
 
 
 class Codec:
@@ -213,25 +212,29 @@ class Codec:
 
     def learn(self, pieces: list[str]) -> None:
         """Encodes pieces and decodes their ids again, by queries."""
-        cuts = []
-        for piece in pieces:
-            raw = piece.encode("utf-8", "surrogatepass")
-            cuts.append([raw] if raw in self.ranks or len(raw) <= SHORT else self.segments(raw))
-        found = {}
-        short, long = [], []
-        for raw in dict.fromkeys(x for cut in cuts for x in cut):
-            if (rank := self.ranks.get(raw)) is not None:
+        ranks, found, cuts = self.ranks, {}, {}
+        raws = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        whole = [raw for raw in raws if raw in ranks]
+        found.update(zip(whole, map(struct.Struct("<I").pack, map(ranks.__getitem__, whole))))
+        short = [raw for raw in raws if raw not in found and len(raw) <= SHORT]
+        long = []
+        for raw in raws:
+            if len(raw) > SHORT and raw not in found:
+                cuts[raw] = self.segments(raw)
+        for raw in dict.fromkeys(x for cut in cuts.values() for x in cut):
+            if (rank := ranks.get(raw)) is not None:
                 found[raw] = struct.pack("<I", rank)
             else:
                 (short if len(raw) <= SHORT else long).append(raw)
-        for group in bounded(short, 2 * ROOM, CHUNK):
+        for group in bounded(list(dict.fromkeys(short)), 2 * ROOM, CHUNK):
             self._contract(group, found, _CONTRACT, None)
         for group in bounded(long, 2 * ROOM, CHUNK):
             rounds = max(2, ROOM // sum(map(len, group)))
             self._contract(group, found, _CONTRACT_LONG.format(rounds=rounds), rounds)
-        ids = [b"".join(map(found.__getitem__, cut)) for cut in cuts]
-        for piece, own, plain in zip(pieces, ids, self.decode(ids)):
-            self.known[piece] = own, plain
+        for raw, cut in cuts.items():
+            found[raw] = b"".join(map(found.__getitem__, cut))
+        ids = list(map(found.__getitem__, raws))
+        self.known.update(zip(pieces, zip(ids, self.decode(ids))))
 
     def segments(self, raw: bytes) -> list[bytes]:
         """The piece, cut wherever no token of the vocabulary that occurs in it reaches across: no merge can either."""
@@ -260,7 +263,8 @@ class Codec:
         pos = (np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
         ids = self.byte[np.frombuffer(b"".join(words), np.uint8)]
         while len(w):
-            self._load("base", w=w, pos=pos, id=ids)
+            last = np.append(w[1:] != w[:-1], True)  # of its word; the others have a right neighbour
+            self._load("base", w=w, pos=pos, id=ids, npos=pa.array(np.roll(pos, -1), mask=last), nid=pa.array(np.roll(ids, -1), mask=last))
             got = self.con.execute(query).fetchnumpy()
             w, pos, ids = (np.asarray(got[c]).astype(np.int32) for c in ("w", "pos", "id"))
             if rounds is None:
