@@ -13,7 +13,9 @@ every link is kept in the components.
 Defined results: a null or empty text, or one without words, has fingerprint
 zero and is linked like any other; repeated rows each give their row and share
 a component; an empty table gives an empty table; a null key is never the name
-of a component unless no row of it has another.
+of a component unless no row of it has another.  A bit set in exactly half of
+the hashes (a tie) is 0.  A very long text is counted BLOCK shingles at a time.
+Only the named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -81,7 +83,7 @@ def links(distinct: DataFrame) -> DataFrame:
     # 0 and 1 change into each other by the low bit, 1 and 2 by both bits
     low = F.transform(F.filter(pairs, lambda s: own.bitwiseAND(F.shiftleft(s, 1)) == 0), lambda s: own.bitwiseXOR(s))
     high = F.transform(F.filter(pairs, lambda s: own.bitwiseAND(full(s)) != 0), lambda s: own.bitwiseXOR(full(s)))
-    near = distinct.select("fp", grid_point(F.col("fp")).alias("own")).select("fp", F.explode(F.concat(F.array(own), low, high)).alias("cell"))
+    near = distinct.select("fp", grid_point(F.col("fp")).alias("own")).select("fp", F.explode(F.concat(F.array(own), low, high)).alias("cell")).repartition("cell")  # made once, counted and joined where it lies
     shared = near.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
     met = near.join(shared, "cell", "left_semi").select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *[_signed(1 << i) for i in range(64)])
