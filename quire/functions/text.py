@@ -17,15 +17,28 @@ def trim_ascii(text: Column) -> Column:
     return F.regexp_replace(text, f"^{_BLANK}+|{_BLANK}+$", "")
 
 
-def _block(block: Column) -> Column:
-    lines = F.transform(F.split(block, "\n"), lambda s: F.regexp_replace(s, f"{_BLANK}+$", ""))
-    lines = F.filter(lines, lambda s: F.length(trim_ascii(s)) > 0)
-    often = lambda test: F.size(F.filter(lines, test)) >= 2
-    structured = often(lambda s: s.rlike(r"\S[ \t]{2,}\S")) | often(lambda s: s.rlike(r"^\s*(?:[-*]|\d+[.)])\s+\S")) | often(lambda s: F.instr(s, " | ") > 0)
+def let(value: Column, body) -> Column:
+    """Binds a value once for a body that uses it more than once, where the optimizer would repeat the expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _prose(lines: Column) -> Column:
+    """Lines as one, words that a hyphen parts joined."""
     prose = F.array_join(F.transform(lines, trim_ascii), "\n")
     prose = F.regexp_replace(prose, r"(?<=\p{L})-[ \t]*\n[ \t]*(?=\p{Ll})", "")
-    prose = trim_ascii(F.regexp_replace(F.translate(prose, "\n", " "), r"[ \t]+", " "))
-    return F.when(structured, F.array_join(lines, "\n")).otherwise(prose)
+    return trim_ascii(F.regexp_replace(F.translate(prose, "\n", " "), r"[ \t]+", " "))
+
+
+def _structured(lines: Column) -> Column:
+    """Whether two lines or more are set in columns, as a list or with bars."""
+    often = lambda test: F.size(F.filter(lines, test)) >= 2
+    return often(lambda s: s.rlike(r"\S[ \t]{2,}\S")) | often(lambda s: s.rlike(r"^\s*(?:[-*]|\d+[.)])\s+\S")) | often(lambda s: F.instr(s, " | ") > 0)
+
+
+def _block(block: Column) -> Column:
+    lines = F.transform(F.split(block, "\n"), lambda s: F.regexp_replace(s, f"{_BLANK}+$", ""))
+    lines = F.filter(lines, lambda s: s.rlike(f"[^{_BLANK[1:]}"))
+    return let(lines, lambda some: F.when(F.size(some) == 1, _prose(some)).when(_structured(some), F.array_join(some, "\n")).otherwise(_prose(some)))
 
 
 def normalise(text: Column) -> Column:

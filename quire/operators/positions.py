@@ -1,4 +1,4 @@
-"""Positioned text of pages: reading, rows, margins, overlaps, bands and clusters."""
+"""Positioned text as columns: atoms, clusters, bands and nearest keys."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 PAGE = ["doc_id", "page_no"]
 #: share of a scale by which a turned run may lean
 SKEW = 0.2
-#: part of the page at its top and bottom in which margins are looked for; tolerances there
-BAND, X_NEAR, Y_NEAR = 0.08, 0.04, 0.02
 
 
 def from_words(docs: DataFrame, per_page: int = 100) -> DataFrame:
@@ -27,7 +25,8 @@ def atoms(entries: DataFrame) -> DataFrame:
     height = F.abs("d")
     declared = F.abs("font_size")
     size = F.when(F.col("font_size").isNull(), F.greatest(F.lit(1.0), height)).when((declared <= 1.01) & (height > 1.01), height).otherwise(F.greatest(F.lit(1.0), declared))
-    scale = lambda u, v: F.greatest(F.lit(0.01), F.col("size") * F.greatest(F.lit(0.01), F.hypot(u, v)))
+    given = F.coalesce(declared, F.lit(1.0))  # the matrix scales what is declared
+    scale = lambda u, v: F.greatest(F.lit(0.01), given * F.greatest(F.lit(0.01), F.hypot(u, v)))
     kept = entries.where(upright & (F.trim("text") != "")).withColumn("size", size)
     kept = kept.withColumns({"h_scale": scale("a", "b"), "v_scale": scale("c", "d"), "text": F.trim("text")}).withColumn("centre", F.col("y") + 0.3 * F.col("v_scale"))
     rounded = [F.round("x", 2).alias("_x"), F.round("y", 2).alias("_y")]
@@ -49,98 +48,6 @@ def clusters(values: Column, tolerance: float) -> Column:
     return F.aggregate(values, empty, add)
 
 
-def rows_of(page: DataFrame) -> DataFrame:
-    """doc_id, page_no, row_no, y, text, parts: visual rows of each page, their parts split at wide gaps.
-
-    A page's entries are gathered in one list, which the page bounds, and
-    folded in reading order inside the JVM.
-    """
-    entry = F.struct((-F.col("centre")).alias("up"), "x", "entry_idx", "y", "size", "h_scale", "v_scale", "text")
-    pages = page.groupBy(*PAGE).agg(F.array_sort(F.collect_list(entry)).alias("all"))
-    kind = pages.schema["all"].dataType.elementType.simpleString()
-    empty = F.array().cast(f"array<struct<centre:double,n:int,least:double,items:array<{kind}>>>")
-
-    def place(rows: Column, e: Column) -> Column:
-        # entries come by falling centre, so only the last row can still be near
-        last = F.element_at(rows, -1)
-        centre = -e["up"]
-        near = (F.size(rows) > 0) & (F.abs(centre - last["centre"]) <= F.greatest(F.lit(1.5), 0.28 * F.least(last["least"], e["v_scale"])))
-        grown = F.struct(((last["centre"] * last["n"] + centre) / (last["n"] + 1)).alias("centre"), (last["n"] + 1).alias("n"), F.least(last["least"], e["v_scale"]).alias("least"), F.concat(last["items"], F.array(e)).alias("items"))
-        fresh = F.struct(centre.alias("centre"), F.lit(1).alias("n"), e["v_scale"].alias("least"), F.array(e).alias("items"))
-        return F.when(near, F.concat(F.slice(rows, F.lit(1), F.greatest(F.lit(0), F.size(rows) - 1)), F.array(grown))).otherwise(F.concat(rows, F.array(fresh)))
-
-    placed = pages.select(*PAGE, F.posexplode(F.aggregate("all", empty, place)).alias("row_no", "row"))
-    ordered = F.array_sort(F.transform("row.items", lambda e: F.struct(e["x"].alias("x"), e["entry_idx"].alias("entry_idx"), e["size"].alias("size"), e["h_scale"].alias("h_scale"), e["y"].alias("y"), e["text"].alias("text"))))
-    parts = F.array().cast("array<struct<x_min:double,x_max:double,size:double,text:string>>")
-
-    def extend(done: Column, e: Column) -> Column:
-        last = F.element_at(done, -1)
-        end = e["x"] + F.greatest(0.25 * e["size"], 0.58 * e["h_scale"] * F.length(e["text"]))
-        same = (F.size(done) > 0) & (e["x"] - last["x_max"] <= F.greatest(F.lit(10.0), 1.25 * F.greatest(e["size"], last["size"])))
-        tight = e["text"].rlike(r"^[,.;:!?%)\]}]") | (e["text"] == "-") | last["text"].endswith("-")
-        text = F.concat(last["text"], F.when(tight, "").otherwise(" "), e["text"])
-        grown = F.struct(last["x_min"].alias("x_min"), F.greatest(last["x_max"], end).alias("x_max"), F.greatest(last["size"], e["size"]).alias("size"), text.alias("text"))
-        fresh = F.struct(e["x"].alias("x_min"), end.alias("x_max"), e["size"].alias("size"), e["text"].alias("text"))
-        return F.when(same, F.concat(F.slice(done, F.lit(1), F.greatest(F.lit(0), F.size(done) - 1)), F.array(grown))).otherwise(F.concat(done, F.array(fresh)))
-
-    cut = placed.select(*PAGE, (F.col("row_no") + 1).alias("row_no"), ordered.alias("items")).withColumn("parts", F.aggregate("items", parts, extend))
-    return cut.select(*PAGE, "row_no", F.array_max(F.transform("items", lambda e: e["y"])).alias("y"), F.array_join(F.transform("parts", lambda p: p["text"]), " | ").alias("text"), "parts")
-
-
-def margin_candidates(entries: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Entries in the top or bottom band of their page, with relative places and a lower-cased signature."""
-    from quire.functions.text import margin_text
-
-    placed = entries.join(boxes, PAGE).withColumns({"x_ratio": F.col("x") / F.col("width"), "y_ratio": F.col("y") / F.col("height")})
-    zone = F.when(F.col("y_ratio") <= BAND, "footer").when(F.col("y_ratio") >= 1 - BAND, "header")
-    return placed.withColumns({"zone": zone, "signature": F.lower(margin_text(F.col("text")))}).where("zone IS NOT NULL AND signature <> ''")
-
-
-def repeated_margins(candidates: DataFrame, pages: DataFrame) -> DataFrame:
-    """doc_id, zone, signature, x_ratio, y_ratio, n_pages: texts that recur at one place on enough pages of a document.
-
-    Places are clustered by rounding to the tolerances; enough is 2 of up to 3
-    pages, else 3 pages and three tenths.
-    """
-    need = pages.groupBy("doc_id").agg(F.count_distinct("page_no").alias("pages"))
-    cell = [F.floor(F.col("x_ratio") / X_NEAR + 0.5).alias("cx"), F.floor(F.col("y_ratio") / Y_NEAR + 0.5).alias("cy")]
-    grouped = candidates.groupBy("doc_id", "zone", "signature", *cell).agg(F.count_distinct("page_no").alias("n_pages"), F.min("x_ratio").alias("x_ratio"), F.min("y_ratio").alias("y_ratio"))
-    enough = F.when(F.col("pages") <= 3, 2).otherwise(F.greatest(F.lit(3), F.ceil(0.3 * F.col("pages"))))
-    return grouped.join(need, "doc_id").where(F.col("n_pages") >= enough).select("doc_id", "zone", "signature", "x_ratio", "y_ratio", "n_pages")
-
-
-def without_margins(entries: DataFrame, candidates: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Entries without repeated margin texts and without what stands in the same margin line (one step, not further)."""
-    hit = candidates.join(repeated.select("doc_id", "zone", "signature").distinct(), ["doc_id", "zone", "signature"], "left_semi")
-    anchors = hit.select("doc_id", "page_no", "zone", F.col("y_ratio").alias("_y")).distinct().alias("n")
-    c = candidates.alias("c")
-    on = [F.col(f"c.{k}") == F.col(f"n.{k}") for k in ("doc_id", "page_no", "zone")]
-    beside = c.join(anchors, [*on, F.abs(F.col("c.y_ratio") - F.col("n._y")) <= Y_NEAR], "left_semi").select("doc_id", "page_no", "entry_idx")
-    return entries.join(beside, [*PAGE, "entry_idx"], "left_anti")
-
-
-def overlaps(page: DataFrame, most: int = 10) -> DataFrame:
-    """Pairs of different runs on a page that cover at least .72 of the shorter one; the first ``most`` of a page.
-
-    Runs meet in bands of y no higher than the tolerance allows, so a page is
-    not paired with all of itself.
-    """
-    width = F.greatest(0.25 * F.col("size"), 0.58 * F.col("h_scale") * F.length("text"))
-    runs = page.select(*PAGE, "entry_idx", "x", (F.col("x") + width).alias("end"), "y", "size", "text")
-    high = F.floor(F.col("y") / 4)
-    a = runs.withColumn("band", F.explode(F.array(high - 1, high, high + 1))).alias("a")
-    b = runs.withColumn("band", high).alias("b")
-    least = F.least("a.size", "b.size")
-    shorter = F.greatest(F.lit(1.0), F.least(F.col("a.end") - F.col("a.x"), F.col("b.end") - F.col("b.x")))
-    share = (F.least("a.end", "b.end") - F.greatest("a.x", "b.x")) / shorter
-    near = (F.abs(F.col("a.y") - F.col("b.y")) <= F.greatest(F.lit(1.5), 0.2 * least)) & (F.abs(F.col("a.x") - F.col("b.x")) <= F.greatest(F.lit(8.0), 1.5 * least))
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*PAGE, "band")]
-    met = a.join(b, [*on, F.col("a.entry_idx") < F.col("b.entry_idx"), F.col("a.text") != F.col("b.text"), near, share >= 0.72])
-    out = met.select(F.col("a.doc_id").alias("doc_id"), F.col("a.page_no").alias("page_no"), F.col("a.entry_idx").alias("first"), F.col("b.entry_idx").alias("second"), F.round(100 * share, 1).alias("overlap"))
-    place = F.row_number().over(Window.partitionBy(*PAGE).orderBy("first", "second"))
-    return out.withColumn("number", place).where(F.col("number") <= most)
-
-
 def interval_gaps(spans: DataFrame, group: str, start: str = "start", stop: str = "stop") -> DataFrame:
     """group, island, start, stop, gap_after: united intervals of each group and the gap to the next."""
     by = Window.partitionBy(group).orderBy(start, stop)
@@ -162,9 +69,9 @@ def nearest(values: DataFrame, keys: DataFrame, group: str, value: str, at: str,
     two = keys.select(group, F.lit(None).cast(values.schema[value].dataType).alias("value"), F.col(at).alias("at"), F.col(key).alias("key"))
     both = one.unionByName(two)
     known = F.when(F.col("key").isNotNull(), F.struct("at", "key"))
-    up = Window.partitionBy(group).orderBy("at")
-    below = F.max(known).over(up.rangeBetween(Window.unboundedPreceding, 0))
-    above = F.min(known).over(up.rangeBetween(0, Window.unboundedFollowing))
+    # each looks back only, in its own direction, so that a group takes one pass
+    below = F.max(known).over(Window.partitionBy(group).orderBy("at").rangeBetween(Window.unboundedPreceding, 0))
+    above = F.min(known).over(Window.partitionBy(group).orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0))
     found = both.withColumns({"below": below, "above": above}).where("value IS NOT NULL")
     take = F.when(F.col("below").isNull() | (F.col("above.at") - F.col("at") <= F.col("at") - F.col("below.at")), F.col("above.key")).otherwise(F.col("below.key"))
     return found.select(group, "value", "at", take.alias("key"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quire.functions import cursor, json_path, text, urls
-from quire.operators import chunks, documents, incremental, layout, positions, retrieval
+from quire.operators import chunks, documents, incremental, positions, retrieval
+from quire.plans import ingest_queries, layout_queries, search_queries
 from quire.plans.sql import SQL
 from quire.sources.tables import table
 
@@ -116,37 +117,6 @@ def dedup_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions.atoms(twice).groupBy("doc_id", "page_no").agg(F.count("*").alias("n"), F.max("entry_idx").alias("last"), F.round(F.sum("centre"), 3).alias("centres"))
 
 
-def overlap_pairs_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = _entries(spark, sf_dir)
-    twice = entries.unionByName(entries.withColumns({"entry_idx": F.col("entry_idx") + 1000, "x": F.col("x") + 2, "text": F.concat("text", F.lit("x"))}))
-    return positions.overlaps(positions.atoms(twice))
-
-
-def _with_footers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    entries = _entries(spark, sf_dir)
-    boxes = entries.select("doc_id", "page_no").distinct().withColumns({"width": F.lit(595.0), "height": F.lit(842.0)})
-    one, zero = F.lit(1.0), F.lit(0.0)
-    line = lambda idx, x, words: boxes.select("doc_id", "page_no", F.lit(idx).alias("entry_idx"), one.alias("a"), zero.alias("b"), zero.alias("c"), one.alias("d"), F.lit(x).alias("x"), F.lit(20.0).alias("y"), words.alias("text"), F.lit(8.0).alias("font_size"))
-    return entries.unionByName(line(5000, 40.0, F.lit("Yearly  Report"))).unionByName(line(5001, 400.0, F.concat(F.lit("leaf "), F.col("page_no").cast("string")))), boxes
-
-
-def repeated_margin_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries, boxes = _with_footers(spark, sf_dir)
-    found = positions.repeated_margins(positions.margin_candidates(entries, boxes), boxes)
-    return found.select("doc_id", "zone", "signature", F.round("x_ratio", 6).alias("x_ratio"), F.round("y_ratio", 6).alias("y_ratio"), "n_pages")
-
-
-def margins_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries, boxes = _with_footers(spark, sf_dir)
-    candidates = positions.margin_candidates(entries, boxes)
-    kept = positions.without_margins(entries, candidates, positions.repeated_margins(candidates, boxes))
-    return kept.groupBy("doc_id", "page_no").agg(F.count("*").alias("n"), F.max("entry_idx").alias("last"))
-
-
-def visual_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return positions.rows_of(positions.atoms(_entries(spark, sf_dir))).select("doc_id", "page_no", "row_no", "y", "text", F.size("parts").alias("n_parts"))
-
-
 def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _entries(spark, sf_dir).groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("entry_idx", "text"))).alias("w"))
     pages = words.select("doc_id", F.col("page_no") + 1, F.array_join(F.transform("w", lambda e: e["text"]), " ").alias("text"), F.concat(F.lit("https://docs.example/"), F.col("doc_id").cast("string"), F.lit("#old")).alias("url")).toDF("doc_id", "page_no", "text", "url")
@@ -171,21 +141,24 @@ def greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("l_orderkey", F.posexplode(found).alias("cluster", "c")).select("l_orderkey", "cluster", F.round("c.mean", 6).alias("mean"), "c.n")
 
 
-def page_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.page_layouts(positions.rows_of(positions.atoms(_entries(spark, sf_dir))))
-
-
 def html_first_href(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", urls.add_to_first_href(F.coalesce("html", F.lit("")), "q=der&state=1").alias("html"))
 
 
 FLAGSHIP = retrieval_topk_excerpts
-_ALL = (retrieval_topk_excerpts, captured_row_normalisation, incremental_keyset_batch, incremental_metrics, latest_per_key_upsert, cleanup_anti_join, association_expand, json_path_fields, product_document, structured_metadata, text_normalise, query_terms, html_text, chunks_with_offsets, chunk_line_overlap, nearest_key, dedup_rounded, overlap_pairs_top10, repeated_margin_text, margins_removed, visual_rows, page_documents, interval_union_gaps, upper_median_gap, greedy_clusters, page_layouts, html_first_href)
+_ALL = (retrieval_topk_excerpts, captured_row_normalisation, incremental_keyset_batch, incremental_metrics, latest_per_key_upsert, cleanup_anti_join, association_expand, json_path_fields, product_document, structured_metadata, text_normalise, query_terms, html_text, chunks_with_offsets, chunk_line_overlap, nearest_key, dedup_rounded, page_documents, interval_union_gaps, upper_median_gap, greedy_clusters, html_first_href)
+_MODULES = (layout_queries, ingest_queries, search_queries)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in _ALL}
+    out = {f.__name__: f for f in _ALL}
+    for module in _MODULES:
+        out |= module.QUERIES
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    out = dict(SQL)
+    for module in _MODULES:
+        out |= module.SQL
+    return out

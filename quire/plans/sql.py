@@ -3,41 +3,28 @@
 _SPACE = r"[\s\x0b\x{85}\p{Z}]+"
 
 
-def _collapse(column: str) -> str:
+def collapse(column: str) -> str:
     return f"trim(regexp_replace({column}, '{_SPACE}', ' ', 'g'))"
 
 
-def _trim(column: str) -> str:
+def trimmed(column: str) -> str:
     return rf"regexp_replace({column}, '^[ \t\n\r\x00\x0B]+|[ \t\n\r\x00\x0B]+$', '', 'g')"
 
 
-_AT = "CAST(floor(epoch(ts)) AS BIGINT)"
-_FRESH = f"({_AT} > 1704200000 OR ({_AT} = 1704200000 AND CAST(event_id AS VARCHAR) > '50'))"
-_ENTRIES = r"""
+AT = "CAST(floor(epoch(ts)) AS BIGINT)"
+FRESH = f"({AT} > 1704200000 OR ({AT} = 1704200000 AND CAST(event_id AS VARCHAR) > '50'))"
+ENTRIES = r"""
 w0 AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\r]+'), lambda s: s <> '') AS w FROM documents),
 w1 AS (SELECT doc_id, unnest(w) AS text, generate_subscripts(w, 1) - 1 AS i FROM w0),
 entries AS (SELECT doc_id, CAST(i // 100 AS INTEGER) AS page_no, CAST(i % 100 AS INTEGER) AS entry_idx, 20.0::DOUBLE + 330.0::DOUBLE * (i % 100 % 2) AS x, 800.0::DOUBLE - 14.0::DOUBLE * ((i % 100) // 2) AS y, text FROM w1)
 """
-_MARGINS = (
-    _ENTRIES
-    + f""",
-boxes AS (SELECT DISTINCT doc_id, page_no FROM entries),
-every AS (SELECT * FROM entries UNION ALL SELECT doc_id, page_no, 5000, 40.0, 20.0, 'Yearly  Report' FROM boxes UNION ALL SELECT doc_id, page_no, 5001, 400.0, 20.0, 'leaf ' || page_no FROM boxes),
-placed AS (SELECT *, x / 595.0::DOUBLE AS x_ratio, y / 842.0::DOUBLE AS y_ratio, lower({_collapse("replace(replace(text, chr(8203), ''), chr(173), '')")}) AS signature FROM every),
-zoned AS (SELECT *, CASE WHEN y_ratio <= 0.08::DOUBLE THEN 'footer' WHEN y_ratio >= 1 - 0.08::DOUBLE THEN 'header' END AS zone FROM placed),
-candidates AS (SELECT * FROM zoned WHERE zone IS NOT NULL AND signature <> ''),
-need AS (SELECT doc_id, count(DISTINCT page_no) AS pages FROM boxes GROUP BY doc_id),
-places AS (SELECT doc_id, zone, signature, floor(x_ratio / 0.04::DOUBLE + 0.5::DOUBLE) AS cx, floor(y_ratio / 0.02::DOUBLE + 0.5::DOUBLE) AS cy, count(DISTINCT page_no) AS n_pages, min(x_ratio) AS x_ratio, min(y_ratio) AS y_ratio FROM candidates GROUP BY ALL),
-repeated AS (SELECT places.* FROM places JOIN need USING (doc_id) WHERE n_pages >= CASE WHEN pages <= 3 THEN 2 ELSE greatest(3, ceil(0.3::DOUBLE * pages)) END)
-"""
-)
 _CHUNKS = f"""
-flat AS (SELECT doc_id, {_collapse("coalesce(text, '')")} AS f FROM documents),
+flat AS (SELECT doc_id, {collapse("coalesce(text, '')")} AS f FROM documents),
 starts AS (SELECT doc_id, f, unnest(generate_series(0, greatest(0, len(f) - 51), 450)) AS start FROM flat WHERE f <> ''),
 chunk AS (SELECT doc_id, CAST(start // 450 + 1 AS INTEGER) AS number, CAST(start AS INTEGER) AS start, CAST(start + len(substr(f, start + 1, 500)) AS INTEGER) AS stop, substr(f, start + 1, 500) AS text FROM starts)
 """
-_LINES = r"list_filter(list_transform(string_split(b, chr(10)), lambda s: regexp_replace(s, '[ \t\n\r\x00\x0B]+$', '')), lambda s: " + _trim("s") + " <> '')"
-_PROSE = "array_to_string(list_transform(l, lambda s: " + _trim("s") + "), chr(10))"
+_LINES = r"list_filter(list_transform(string_split(b, chr(10)), lambda s: regexp_replace(s, '[ \t\n\r\x00\x0B]+$', '')), lambda s: " + trimmed("s") + " <> '')"
+_PROSE = "array_to_string(list_transform(l, lambda s: " + trimmed("s") + "), chr(10))"
 _JOIN = r"regexp_replace({}, '(\p{{L}})-[ \t]*\n[ \t]*(\p{{Ll}})', '\1\2', 'g')"
 
 SQL = {
@@ -57,11 +44,11 @@ FROM chosen c LEFT JOIN best b ON b.id = c.id AND b.n = 1""",
 SELECT o_custkey AS result_group, 'shop:order:' || o_orderkey AS id, round(greatest(0.0::DOUBLE, 1 - 0.01::DOUBLE * (row_number() OVER g - 1)), 6) AS score, coalesce(o_orderstatus, '') AS text, coalesce(o_orderpriority, '') AS title, '' AS url,
   CAST(o_orderkey AS VARCHAR) AS source_uid, CAST(row_number() OVER g AS INTEGER) AS position, 'all orders' AS effective_query, count(*) OVER (PARTITION BY o_custkey) AS total
 FROM orders WINDOW g AS (PARTITION BY o_custkey ORDER BY o_orderkey)""",
-    "incremental_keyset_batch": f"SELECT event_id, {_AT} AS at FROM events WHERE {_FRESH} AND {_AT} < 1800000000 ORDER BY 2, CAST(event_id AS VARCHAR) LIMIT 100",
+    "incremental_keyset_batch": f"SELECT event_id, {AT} AS at FROM events WHERE {FRESH} AND {AT} < 1800000000 ORDER BY 2, CAST(event_id AS VARCHAR) LIMIT 100",
     "incremental_metrics": f"""
 SELECT event_type AS config, count(*) FILTER (f) AS processed, count(*) FILTER (f AND a) AS indexed, count(*) FILTER (f AND NOT a) AS removed, count(*) FILTER (f AND NOT a) AS skipped, 0::BIGINT AS failed, count(*) FILTER (NOT f) AS late
-FROM (SELECT event_type, {_FRESH} AS f, coalesce(value >= 100, TRUE) AS a FROM events) GROUP BY event_type""",
-    "latest_per_key_upsert": f"SELECT user_id, event_id, {_AT} AS at, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
+FROM (SELECT event_type, {FRESH} AS f, coalesce(value >= 100, TRUE) AS a FROM events) GROUP BY event_type""",
+    "latest_per_key_upsert": f"SELECT user_id, event_id, {AT} AS at, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
     "cleanup_anti_join": "SELECT doc_id, source, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'skipped' ELSE 'removed' END AS status FROM documents",
     "association_expand": """
 SELECT c_custkey, c_name, n_name, r_name, coalesce(n, 0) AS n_orders, coalesce(t, 0.0) AS total FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
@@ -75,19 +62,19 @@ SELECT p_partkey, p_name AS contact_name, CASE WHEN p_size > 20 THEN p_brand END
     "text_normalise": rf"""
 WITH a AS (SELECT doc_id, replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(160), ' '), chr(8239), ' '), chr(173), ''), chr(64256), 'ff'), chr(64257), 'fi'), chr(64258), 'fl') AS t FROM documents),
 c AS (SELECT doc_id, regexp_replace(replace(replace(t, chr(64259), 'ffi'), chr(64260), 'ffl'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g') AS t FROM a),
-blocks AS (SELECT doc_id, unnest(s) AS b, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, string_split_regex({_trim("t")}, '\n[ \t]*\n+') AS s FROM c)),
+blocks AS (SELECT doc_id, unnest(s) AS b, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, string_split_regex({trimmed("t")}, '\n[ \t]*\n+') AS s FROM c)),
 lined AS (SELECT doc_id, i, {_LINES} AS l FROM blocks),
 done AS (SELECT doc_id, i, CASE WHEN len(list_filter(l, lambda s: regexp_matches(s, '\S[ \t]{{2,}}\S'))) >= 2 OR len(list_filter(l, lambda s: regexp_matches(s, '^\s*(?:[-*]|\d+[.)])\s+\S'))) >= 2 OR len(list_filter(l, lambda s: contains(s, ' | '))) >= 2
-  THEN array_to_string(l, chr(10)) ELSE {_trim("regexp_replace(replace(" + _JOIN.format(_JOIN.format(_PROSE)) + ", chr(10), ' '), '[ \\t]+', ' ', 'g')")} END AS b FROM lined)
+  THEN array_to_string(l, chr(10)) ELSE {trimmed("regexp_replace(replace(" + _JOIN.format(_JOIN.format(_PROSE)) + ", chr(10), ' '), '[ \\t]+', ' ', 'g')")} END AS b FROM lined)
 SELECT documents.doc_id, coalesce(string_agg(b, chr(10) || chr(10) ORDER BY i) FILTER (b <> ''), '') AS text FROM documents LEFT JOIN done ON documents.doc_id = done.doc_id GROUP BY documents.doc_id""",
     "query_terms": r"""
 SELECT conv_id, turn, CAST(len(t) AS INTEGER) AS n_terms, array_to_string(t, ' ') AS terms
 FROM (SELECT conv_id, turn, list_sort(list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda s: len(s) > 1))) AS t FROM conversations)""",
-    "html_text": rf"""SELECT page_id, {_collapse("regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->|</?[A-Za-z!?](?:" + chr(34) + "[^" + chr(34) + "]*" + chr(34) + "|''[^'']*''|[^''" + chr(34) + ">])*>', '', 'g')")} AS text FROM pages""",
+    "html_text": rf"""SELECT page_id, {collapse("regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->|</?[A-Za-z!?](?:" + chr(34) + "[^" + chr(34) + "]*" + chr(34) + "|''[^'']*''|[^''" + chr(34) + ">])*>', '', 'g')")} AS text FROM pages""",
     "chunks_with_offsets": f"WITH {_CHUNKS} SELECT * FROM chunk",
     "chunk_line_overlap": f"""
 WITH {_CHUNKS},
-parts AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda s: {_collapse("s")}), lambda s: s <> '') AS p FROM documents),
+parts AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda s: {collapse("s")}), lambda s: s <> '') AS p FROM documents),
 cut AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS line FROM parts),
 ended AS (SELECT doc_id, line, len(s) AS n, CAST(sum(len(s) + 1) OVER (PARTITION BY doc_id ORDER BY line) AS BIGINT) - 1 AS stop FROM cut)
 SELECT c.doc_id, number, string_agg(line, ',' ORDER BY line) AS lines FROM chunk c JOIN ended e ON c.doc_id = e.doc_id AND e.stop - e.n < c.stop AND e.stop > c.start GROUP BY c.doc_id, number""",
@@ -96,27 +83,9 @@ WITH keys AS (SELECT l_orderkey, l_quantity, min(l_linenumber) AS key FROM linei
 v AS (SELECT l_orderkey, l_linenumber AS value, l_quantity, row_number() OVER () AS id FROM lineitem WHERE l_returnflag <> 'R'),
 ranked AS (SELECT v.*, key, row_number() OVER (PARTITION BY id ORDER BY abs(k.l_quantity - v.l_quantity), k.l_quantity DESC) AS n FROM v LEFT JOIN keys k ON v.l_orderkey = k.l_orderkey)
 SELECT l_orderkey, value, l_quantity, key FROM ranked WHERE n = 1""",
-    "dedup_rounded": f"WITH {_ENTRIES} SELECT doc_id, page_no, count(*) AS n, max(entry_idx) AS last, round(sum(y + 0.3::DOUBLE * 10), 3) AS centres FROM entries GROUP BY doc_id, page_no",
-    "overlap_pairs_top10": f"""
-WITH {_ENTRIES},
-twice AS (SELECT doc_id, page_no, entry_idx, x, y, text FROM entries UNION ALL SELECT doc_id, page_no, entry_idx + 1000, x + 2, y, text || 'x' FROM entries),
-runs AS (SELECT *, x + greatest(2.5::DOUBLE, 0.58::DOUBLE * 10 * len(text)) AS e FROM twice),
-pairs AS (SELECT a.doc_id, a.page_no, a.entry_idx AS first, b.entry_idx AS second, (least(a.e, b.e) - greatest(a.x, b.x)) / greatest(1.0::DOUBLE, least(a.e - a.x, b.e - b.x)) AS share
-  FROM runs a JOIN runs b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.y = b.y AND a.entry_idx < b.entry_idx AND a.text <> b.text AND abs(a.x - b.x) <= 15)
-SELECT * FROM (SELECT doc_id, page_no, first, second, round(100 * share, 1) AS overlap, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY first, second) AS INTEGER) AS number FROM pairs WHERE share >= 0.72) WHERE number <= 10""",
-    "repeated_margin_text": f"WITH {_MARGINS} SELECT doc_id, zone, signature, round(x_ratio, 6) AS x_ratio, round(y_ratio, 6) AS y_ratio, n_pages FROM repeated",
-    "margins_removed": f"""
-WITH {_MARGINS},
-anchors AS (SELECT DISTINCT doc_id, page_no, zone, y_ratio FROM candidates SEMI JOIN repeated USING (doc_id, zone, signature)),
-gone AS (SELECT DISTINCT c.doc_id, c.page_no, c.entry_idx FROM candidates c JOIN anchors a ON c.doc_id = a.doc_id AND c.page_no = a.page_no AND c.zone = a.zone AND abs(c.y_ratio - a.y_ratio) <= 0.02::DOUBLE)
-SELECT doc_id, page_no, count(*) AS n, max(entry_idx) AS last FROM every ANTI JOIN gone USING (doc_id, page_no, entry_idx) GROUP BY doc_id, page_no""",
-    "visual_rows": rf"""
-WITH {_ENTRIES},
-pairs AS (SELECT doc_id, page_no, CAST(entry_idx // 2 + 1 AS INTEGER) AS row_no, max(y) AS y, max(text) FILTER (entry_idx % 2 = 0) AS l, max(text) FILTER (entry_idx % 2 = 1) AS r FROM entries GROUP BY ALL),
-wide AS (SELECT *, r IS NOT NULL AND 350 - (20 + greatest(2.5::DOUBLE, 0.58::DOUBLE * 10 * len(l))) > 12.5 AS gap FROM pairs)
-SELECT doc_id, page_no, row_no, y, CASE WHEN r IS NULL THEN l WHEN gap THEN l || ' | ' || r WHEN regexp_matches(r, '^[,.;:!?%)\]}}]') OR r = '-' OR ends_with(l, '-') THEN l || r ELSE l || ' ' || r END AS text, CASE WHEN gap THEN 2 ELSE 1 END AS n_parts FROM wide""",
+    "dedup_rounded": f"WITH {ENTRIES} SELECT doc_id, page_no, count(*) AS n, max(entry_idx) AS last, round(sum(y + 0.3::DOUBLE * 10), 3) AS centres FROM entries GROUP BY doc_id, page_no",
     "page_documents": f"""
-WITH {_ENTRIES},
+WITH {ENTRIES},
 p AS (SELECT doc_id, page_no + 1 AS page_no, string_agg(text, ' ' ORDER BY entry_idx) AS text FROM entries GROUP BY ALL)
 SELECT doc_id, page_no, doc_id || '#page-' || page_no AS source_id, count(*) OVER (PARTITION BY doc_id) AS page_count, 'https://docs.example/' || doc_id || '#page=' || page_no AS url, text FROM p""",
     "interval_union_gaps": """
@@ -126,6 +95,6 @@ i AS (SELECT *, sum(fresh) OVER (PARTITION BY l_orderkey ORDER BY a, b ROWS UNBO
 u AS (SELECT l_orderkey, CAST(island AS BIGINT) AS island, min(a) AS start, max(b) AS stop FROM i GROUP BY ALL)
 SELECT *, lead(start) OVER (PARTITION BY l_orderkey ORDER BY island) - stop AS gap_after FROM u""",
     "upper_median_gap": f"""
-WITH g AS (SELECT user_id, {_AT} - lag({_AT}) OVER (PARTITION BY user_id ORDER BY {_AT}, event_id) AS gap FROM events)
+WITH g AS (SELECT user_id, {AT} - lag({AT}) OVER (PARTITION BY user_id ORDER BY {AT}, event_id) AS gap FROM events)
 SELECT user_id, list_sort(list(gap))[count(*) // 2 + 1] AS upper_median, count(*) AS n FROM g WHERE gap > 0.5 GROUP BY user_id""",
 }

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import cursor, json_path, text
-from quire.operators import chunks, documents, incremental, positions, retrieval
+from quire.operators import chunks, documents, incremental, pages, positions, retrieval
 from quire.plans import registry
 from quire.sources import tables
 from quire.streaming.ingest import ingest
@@ -135,14 +135,7 @@ def test_atoms_and_rows(spark):
     found = {r["entry_idx"]: r for r in page.collect()}
     assert set(found) == {0, 1, 5, 6}
     assert (found[5]["h_scale"], found[5]["v_scale"], found[5]["size"]) == (20.0, 30.0, 10.0)
-    assert [r["text"] for r in positions.rows_of(page).orderBy("row_no").collect()] == ["03 Introduction", "Left | Right"]
-
-
-def test_overlaps(spark):
-    run = lambda x, y, t: (1.0, 0.0, 0.0, 1.0, x, y, t, 10.0)
-    page = positions.atoms(entries(spark, [run(20.0, 100.0, "Heading one"), run(20.5, 100.4, "Heading two"), run(300.0, 100.0, "away")]))
-    got = positions.overlaps(page).collect()
-    assert len(got) == 1 and got[0]["overlap"] > 90
+    assert [r["text"] for r in pages.visual_rows(entries(spark, rows)).orderBy("row_no").collect()] == ["03 Introduction", "Left | Right"]
 
 
 def test_upper_median(spark):
