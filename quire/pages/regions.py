@@ -16,6 +16,7 @@ MARK_CHARS, MARK = 2, 0.08
 INNER, INNER_LEAST = 0.08, 20.0
 SAME, SAME_LEAST, SAME_FONT = 0.04, 12.0, 1.35
 LEAD = 1.6
+BREAK_LEAST, BREAK_MOST, BREAK, RUN, BESIDE = 42.0, 80.0, 1.75, 3, 0.45
 WIDE_OVERLAP = 0.7
 HEAD_GAP, HEAD_GAP_LEAST, HEAD_SHORT = 1.55, 18.0, 0.75
 COMPACT = 0.72
@@ -190,6 +191,33 @@ def _full_band(see: _Reader, rows: list[Row], at: int) -> bool:
     return run >= 3
 
 
+def _runs(rows: list[Row], limit: float) -> list[list[Row]]:
+    """Rows of one side in runs that no gap beyond the limit breaks; short ones are left out."""
+    out: list[list[Row]] = []
+    for r in rows:
+        if out and out[-1][-1].y - r.y <= limit:
+            out[-1].append(r)
+        else:
+            out.append([r])
+    return [run for run in out if len(run) >= RUN]
+
+
+def beside(left: list[Row], right: list[Row], gap: float) -> tuple[list[Row], list[Row]] | None:
+    """The runs of the two sides that stand beside each other most: by shared height and rows; the first of equals."""
+    limit = max(BREAK_LEAST, min(BREAK_MOST, BREAK * gap))
+    best = None
+    for a in _runs(left, limit):
+        for b in _runs(right, limit):
+            shared = min(a[0].y, b[0].y) - max(a[-1].y, b[-1].y)
+            shorter = min(a[0].y - a[-1].y, b[0].y - b[-1].y)
+            if shared <= 0 or shared < BESIDE * shorter:
+                continue
+            score = shared * min(len(a), len(b))
+            if best is None or score > best[0]:
+                best = (score, a, b)
+    return best and best[1:]
+
+
 def _joined(see: _Reader, bands: list[list[Row]], modes: list[str]) -> list[list[Row]]:
     out: list[list[Row]] = []
     for i, band in enumerate(bands):
@@ -199,9 +227,11 @@ def _joined(see: _Reader, bands: list[list[Row]], modes: list[str]) -> list[list
             if 0 < first and band[first - 1].y - band[first].y > LEAD * see.usual:
                 out.append(band[:first])
                 band = band[first:]
-            elif out and modes[i - 1] == "columns" and all(see.kind(r) == "right" for r in out[-1]) and out[-1][-1].y - band[0].y <= 2 * see.gap:
+            elif out and modes[i - 1] == "columns" and all(see.kind(r) == "right" for r in out[-1]):
+                left, right = split_rows(out[-1] + band, see.split)
+                found = beside(left, right, see.gap)
                 own = next(p for r in band for p in r.parts if p.x_min >= see.split)
-                if see.same_column(own, [out[-1][-1].parts[0]]):
+                if found and found[1][0].y >= out[-1][-1].y and see.same_column(own, [out[-1][-1].parts[0]]):
                     band = out.pop() + band
         out.append(band)
     return out
