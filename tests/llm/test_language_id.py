@@ -25,6 +25,44 @@ def test_gradients_agree_with_differences():
             assert abs((up - down) / (2 * step) - grads[name][at]) < 2e-3
 
 
+def plain(net, text):
+    """Mean label probabilities of a text, one byte and one gate at a time."""
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    raw, w, k = text.encode(), {n: x.astype(np.float64) for n, x in net.w.items()}, net.hidden
+    total = np.zeros(len(net.labels))
+    for at in range(0, len(raw), langid.SEGMENT):
+        part = raw[at : at + langid.SEGMENT]
+        filled = part + bytes(langid.SEGMENT - len(part))
+        states = {}
+        for way in "fb":
+            h, out = np.zeros(k), [None] * langid.SEGMENT
+            for t in range(langid.SEGMENT) if way == "f" else reversed(range(langid.SEGMENT)):
+                b = filled[t]
+                z = sigmoid(w[way + "wz"][b] + h @ w[way + "uz"])
+                r = sigmoid(w[way + "wr"][b] + h @ w[way + "ur"])
+                n = np.tanh(w[way + "wn"][b] + r * (h @ w[way + "un"]))
+                h = z * h + (1 - z) * n
+                out[t] = h
+            states[way] = out
+        for t in range(len(part)):
+            x = np.concatenate([states["f"][t], states["b"][t]]) @ w["out"] + w["bias"]
+            e = np.exp(x - x.max())
+            total += e / e.sum()
+    return total / max(1, len(raw))
+
+
+def test_inference_by_a_plain_loop():
+    draw = np.random.default_rng(4)
+    texts = ["", "a", "Ein kurzer Satz.", "é" * 60, "x" * 96, "y" * 97, "".join(map(chr, draw.integers(32, 300, 500)))]
+    for scale in (1.0, 40.0):  # the second takes logits far beyond what exponentials hold
+        net = langid.Network(["a", "b", "c"], hidden=5)
+        net.w["out"] *= scale
+        net.w["bias"] = net.w["bias"] - np.float32(200.0 * (scale > 1))
+        found = langid.pooled(net, texts)
+        expected = np.array([plain(net, t) if t else np.zeros(3) for t in texts])
+        assert np.isfinite(found).all() and np.abs(found - expected).max() < 2e-4 * scale
+
+
 def test_held_out_accuracy(spark, medium):
     found = queries.op1_language_id(spark, medium).toPandas()
     docs = spark.read.parquet(f"{medium}/documents.parquet").toPandas()
