@@ -42,6 +42,11 @@ def upsert(stored: DataFrame, changes: DataFrame, key: str, *order: str) -> Data
     return latest(stored.unionByName(changes), key, *order)
 
 
+def apply_changes(stored: DataFrame, changes: DataFrame, key: str, active: str, *order: str) -> DataFrame:
+    """As ``upsert``, but a key whose newest row is not active is deleted; one that does not say counts as active."""
+    return upsert(stored, changes, key, *order).where(F.coalesce(F.col(active), F.lit(True)))
+
+
 def reconcile(stored: DataFrame, remote: DataFrame, key: str, probe_failed: bool = False) -> DataFrame:
     """Stored rows with status ``skipped`` (still there) or ``removed``; a failed probe removes nothing but raises."""
     if probe_failed:

@@ -25,6 +25,14 @@ def retrieval_topk_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.retrieve(rows, QUERY, THRESHOLD, 10, 200)
 
 
+def retrieval_two_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the rows' own, but for some, and two passages a result."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text").withColumn("kind", F.lit("doc"))
+    docs = docs.withColumn("score", F.when(F.col("doc_id") % 4 == 0, "none").otherwise(((F.col("doc_id") % 10) / 10.0).cast("string")))
+    rows = retrieval.normalise_rows(docs, "source", "doc_id", {"id": "doc_id", "type": "kind", "text": "text", "score": "score"})
+    return retrieval.retrieve(rows, QUERY, 0.6, 5, 120, 2)
+
+
 def captured_row_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").withColumn("kind", F.lit("order"))
     rows = retrieval.normalise_rows(orders, "o_custkey", "o_orderkey", {"id": "o_orderkey", "type": "kind", "title": "o_orderpriority", "text": "o_orderstatus"})
@@ -50,6 +58,12 @@ def latest_per_key_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.upsert(stored, changes, "user_id", "ts", "event_id").drop("ts")
 
 
+def latest_active_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _events(spark, sf_dir).select("user_id", "event_id", "at", "event_type", "ts", (F.col("value") >= 50).alias("active"))
+    stored, changes = events.where("event_type = 'signup'"), events.where("event_type <> 'signup'")
+    return incremental.apply_changes(stored, changes, "user_id", "active", "ts", "event_id").select("user_id", "event_id", "at", "event_type")
+
+
 def cleanup_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.reconcile(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id")
 
@@ -146,7 +160,7 @@ def html_first_href(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FLAGSHIP = retrieval_topk_excerpts
-_ALL = (retrieval_topk_excerpts, captured_row_normalisation, incremental_keyset_batch, incremental_metrics, latest_per_key_upsert, cleanup_anti_join, association_expand, json_path_fields, product_document, structured_metadata, text_normalise, query_terms, html_text, chunks_with_offsets, chunk_line_overlap, nearest_key, dedup_rounded, page_documents, interval_union_gaps, upper_median_gap, greedy_clusters, html_first_href)
+_ALL = (retrieval_topk_excerpts, retrieval_two_excerpts, captured_row_normalisation, incremental_keyset_batch, incremental_metrics, latest_per_key_upsert, latest_active_per_key, cleanup_anti_join, association_expand, json_path_fields, product_document, structured_metadata, text_normalise, query_terms, html_text, chunks_with_offsets, chunk_line_overlap, nearest_key, dedup_rounded, page_documents, interval_union_gaps, upper_median_gap, greedy_clusters, html_first_href)
 _MODULES = (layout_queries, ingest_queries, search_queries)
 
 

@@ -97,4 +97,31 @@ SELECT *, lead(start) OVER (PARTITION BY l_orderkey ORDER BY island) - stop AS g
     "upper_median_gap": f"""
 WITH g AS (SELECT user_id, {AT} - lag({AT}) OVER (PARTITION BY user_id ORDER BY {AT}, event_id) AS gap FROM events)
 SELECT user_id, list_sort(list(gap))[count(*) // 2 + 1] AS upper_median, count(*) AS n FROM g WHERE gap > 0.5 GROUP BY user_id""",
+    "greedy_clusters": """
+WITH v AS (SELECT l_orderkey, list(l_quantity ORDER BY l_linenumber, l_quantity) AS q FROM lineitem GROUP BY l_orderkey),
+r AS (SELECT l_orderkey, list_reduce(q, lambda acc, x: CASE WHEN list_position(list_transform(acc, lambda c: abs(x - c.mean) <= 6.0), TRUE) > 0
+  THEN list_transform(acc, lambda c, i: CASE WHEN i = list_position(list_transform(acc, lambda d: abs(x - d.mean) <= 6.0), TRUE) THEN {'mean': (c.mean * c.n + x) / (c.n + 1), 'n': c.n + 1} ELSE c END)
+  ELSE list_append(acc, {'mean': x, 'n': 1}) END, CAST([] AS STRUCT(mean DOUBLE, n INTEGER)[])) AS c FROM v)
+SELECT l_orderkey, CAST(i - 1 AS INTEGER) AS cluster, round(c[i].mean, 6) AS mean, c[i].n AS n FROM (SELECT l_orderkey, c, unnest(generate_series(1, len(c))) AS i FROM r)""",
+    "html_first_href": r"""
+WITH f AS (SELECT page_id, coalesce(html, '') AS html, regexp_extract(coalesce(html, ''), '(?i)<a\b[^>]*?\bhref\s*=\s*(?:"[^"'']*"|''[^"'']*'')') AS found FROM pages),
+g AS (SELECT *, regexp_extract(found, '["'']([^"'']*)["'']$', 1) AS target, instr(html, found) AS at_ FROM f),
+h AS (SELECT *, split_part(target, '#', 1) AS before FROM g)
+SELECT page_id, CASE WHEN found = '' THEN html ELSE substr(html, 1, at_ - 1) || substr(found, 1, len(found) - len(target) - 1) || before || CASE WHEN contains(before, '?') THEN '&amp;' ELSE '?' END || 'q=der&amp;state=1' || substr(target, len(before) + 1) || right(found, 1) || substr(html, at_ + len(found)) END AS html FROM h""",
+    "latest_active_per_key": f"SELECT user_id, event_id, {AT} AS at, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND value >= 50",
+    "retrieval_two_excerpts": """
+WITH d AS (SELECT source, doc_id, substr(coalesce(text, ''), 1, 6000) AS text, round(CASE WHEN doc_id % 4 = 0 THEN greatest(0.0::DOUBLE, 1 - 0.01::DOUBLE * (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)) ELSE (doc_id % 10) / 10.0::DOUBLE END, 6) AS score, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS position FROM documents),
+kept AS (SELECT *, 'doc:' || doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY position) AS k FROM d WHERE text <> '' AND score >= 0.6),
+chosen AS (SELECT * FROM kept WHERE k <= 5),
+parts AS (SELECT id, term, string_split(lower(text), term) AS p FROM chosen, (VALUES ('der'), ('thing')) AS t(term)),
+hits AS (SELECT id, term, p, unnest(generate_series(1, len(p) - 1)) AS i FROM parts),
+starts AS (SELECT DISTINCT id, greatest(0, CAST(list_sum(list_transform(p[1:i], lambda s: len(s))) AS BIGINT) + (i - 1) * len(term) - 60) AS start FROM hits),
+windows AS (SELECT id, start, least(len(text), start + 120) AS stop, substr(text, start + 1, 120) AS part FROM starts JOIN chosen USING (id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY (CASE WHEN instr(lower(part), 'der') > 0 THEN 1 ELSE 0 END + CASE WHEN instr(lower(part), 'thing') > 0 THEN 1 ELSE 0 END) DESC, start) AS n FROM windows),
+one AS (SELECT * FROM ranked WHERE n = 1),
+two AS (SELECT * FROM (SELECT r.*, row_number() OVER (PARTITION BY r.id ORDER BY r.n) AS m FROM ranked r JOIN one ON r.id = one.id AND (r.start >= one.stop OR r.stop <= one.start)) WHERE m = 1),
+chosen2 AS (SELECT id, start, part FROM one UNION ALL SELECT id, start, part FROM two),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY start) AS place FROM chosen2)
+SELECT source AS result_group, c.id || '#excerpt-' || coalesce(place, 1) AS id, score, CASE WHEN b.id IS NULL THEN substr(c.text, 1, 120) ELSE trim(part, ' ' || chr(9) || chr(10) || chr(13) || chr(11)) END AS text
+FROM chosen c LEFT JOIN numbered b ON b.id = c.id""",
 }
