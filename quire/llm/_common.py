@@ -69,11 +69,18 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def until_exit(spark: SparkSession, folder: str) -> None:
+    """Has a folder removed when the application ends, since a result may read it until then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared folder and reads them back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark)
     df.write.parquet(path)
+    until_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
