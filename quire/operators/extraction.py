@@ -10,6 +10,7 @@ from quire.operators import alignment, margins
 from quire.operators.pages import per_page, together
 from quire.pages import geometry, regions
 from quire.pages.geometry import Entry
+from quire.sources.tables import landed
 
 PAGE = ["doc_id", "page_no"]
 #: rows of parts at heights that differ by a share of the smaller size, twice or more on a page
@@ -59,7 +60,7 @@ def extract(entries: DataFrame, boxes: DataFrame, commands: DataFrame | None = N
     the text as a parser gives it.  Margins are looked for across the pages of
     a document; everything else stays within a page.
     """
-    aligned = alignment.align(entries, commands) if commands is not None else entries
+    aligned = landed(alignment.align(entries, commands)) if commands is not None else entries
     found = margins.candidates(aligned, boxes)
     out = margins.marked(found, margins.repeated(found, boxes))
     kept = margins.without(aligned, out)
@@ -73,7 +74,12 @@ def extract(entries: DataFrame, boxes: DataFrame, commands: DataFrame | None = N
     return pages.select(*PAGE, name.alias("strategy"), layout.alias("layout"), *numbers, F.coalesce("confidence", F.lit(0.0)).alias("confidence"), n_excluded.alias("n_excluded"), normalise(text).alias("text"))
 
 
-def page_documents(pages: DataFrame, url: Column | None = None, link_to_page: bool = True) -> DataFrame:
+def links_to_page(option: Column) -> Column:
+    """Whether a setting, given as text, asks for links to the matched page."""
+    return F.coalesce(F.lower(F.trim(option.cast("string"))).isin("true", "1"), F.lit(False))
+
+
+def page_documents(pages: DataFrame, url: Column | None = None, link_to_page: Column | bool = True) -> DataFrame:
     """doc_id, page_no, source_id, page_count, url, text and what was found out of extracted pages that hold text."""
     counts = pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("page_count"))
     base = F.substring_index(F.coalesce(url, F.lit("")) if url is not None else F.lit(""), "#", 1)

@@ -10,7 +10,7 @@ from quire.plans import templates
 from quire.plans.sql import ENTRIES, collapse
 from quire.plans.templates import TEMPLATES
 from quire.sources import pdf
-from quire.sources.tables import table
+from quire.sources.tables import landed, table
 
 SQL: dict[str, str] = {}
 QUERIES: dict = {}
@@ -341,7 +341,7 @@ SELECT CAST(doc_id AS VARCHAR) AS doc_id, 1 AS page_no, CAST(doc_id AS VARCHAR)
   substr(md5(doc_id || ':0'), 1, 12) || ' ' || substr(md5(doc_id || ':1'), 1, 12) || ' aäb' AS text, 'positioned-fallback' AS strategy, 'plain' AS layout FROM documents WHERE doc_id % 10 <> 9""")
 def pdf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files to page documents: read, align, leave out margins, lay out, normalise."""
-    read = pdf.pages(_files(spark, sf_dir))
+    read = landed(pdf.pages(_files(spark, sf_dir)))  # each file is decoded once
     found = extraction.extract(pdf.entries(read), pdf.boxes(read), pdf.commands(read))
     url = F.concat(F.lit("https://files.example/"), F.col("doc_id"), F.lit(".pdf#old"))
     return extraction.page_documents(found, url).select("doc_id", "page_no", "source_id", "page_count", "url", "text", "strategy", "layout")

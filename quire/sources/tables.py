@@ -25,6 +25,27 @@ def lookup(products: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return products.join(wanted, F.col(key).cast("string") == F.col("_id"), "left_semi")
 
 
+def landed(df: DataFrame) -> DataFrame:
+    """Writes rows that several branches read to the shared folder of spark.checkpoint.dir, and reads them back from there.
+
+    The folder is removed when the application ends.
+    """
+    import tempfile
+    import uuid
+
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.gettempdir() + "/checkpoints"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def replace_table(df: DataFrame, folder: str, version: str) -> str:
     """Writes a whole new version beside the old ones and returns its folder; readers switch by that name."""
     path = f"{folder.rstrip('/')}/{version}"
