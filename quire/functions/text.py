@@ -95,9 +95,12 @@ def windows_of(text: str, terms: list[str], size: int, most: int) -> list[str]:
     found = {max(0, m.start() - size // 2) for t in terms for m in re.finditer(re.escape(t), text, re.I)}
     if not found:
         return [text[:size]]
-    parts = {at: text[at : at + size] for at in found}
-    low = {at: p.lower() for at, p in parts.items()}
-    ranked = sorted(found, key=lambda at: (-sum(t in low[at] for t in terms), at))
+
+    def worth(at: int) -> tuple[int, int]:
+        part = text[at : at + size].lower()  # scored and let go; only the chosen ones are cut in the end
+        return -sum(t in part for t in terms), at
+
+    ranked = sorted(found, key=worth)
     taken: list[int] = []
     for at in ranked:
         end = min(len(text), at + size)
@@ -105,7 +108,7 @@ def windows_of(text: str, terms: list[str], size: int, most: int) -> list[str]:
             taken.append(at)
             if len(taken) >= max(1, most):
                 break
-    return [parts[at].strip(" \t\n\r\0\x0b") for at in sorted(taken)]
+    return [text[at : at + size].strip(" \t\n\r\0\x0b") for at in sorted(taken)]
 
 
 def excerpts(text: Column, query: str, size: int, most: int = 1) -> Column:

@@ -61,8 +61,7 @@ def extract(entries: DataFrame, boxes: DataFrame, commands: DataFrame | None = N
     a document; everything else stays within a page.
     """
     aligned = landed(alignment.align(entries, commands)) if commands is not None else entries
-    found = margins.candidates(aligned, boxes)
-    out = margins.marked(found, margins.repeated(found, boxes))
+    out = margins.find(aligned, boxes)
     kept = margins.without(aligned, out)
     excluded = out.groupBy(*PAGE).agg(F.count("*").alias("n_excluded"))
     pages = boxes.select(*PAGE).join(page_texts(kept), PAGE, "left").join(excluded, PAGE, "left")

@@ -14,6 +14,7 @@ from quire.functions.text import margin_text
 from quire.operators.pages import per_page, together
 from quire.pages import geometry
 from quire.pages.geometry import DESCENT, Entry
+from quire.sources.tables import landed
 
 PAGE = ["doc_id", "page_no"]
 # fixed values: share of the page in which margins are looked for, and tolerances there
@@ -62,10 +63,11 @@ def repeated(found: DataFrame, boxes: DataFrame) -> DataFrame:
     page's place in the document by ``shift``; the place is that of the
     cluster's first member.  In a document of one page a printed 1 is enough.
     """
-    texts = found.select("*", F.lit("text").alias("kind"), F.col("signature").alias("name"))
-    numbers = found.where("number IS NOT NULL").select("*", F.lit("number").alias("kind"), F.lit("").alias("name"))
+    text = F.struct(F.lit("text").alias("kind"), F.col("signature").alias("name"))
+    number = F.when(F.col("number").isNotNull(), F.struct(F.lit("number").alias("kind"), F.lit("").alias("name")))
+    named = found.select("*", F.explode(F.array_compact(F.array(text, number))).alias("as")).select("*", "as.kind", "as.name")
     item = F.struct("page_no", "entry_idx", "x_ratio", "y_ratio", F.when(F.col("kind") == "number", F.col("number") - F.col("page_no")).alias("shift"), "number")
-    listed = texts.unionByName(numbers).groupBy("doc_id", "zone", "kind", "name").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    listed = named.groupBy("doc_id", "zone", "kind", "name").agg(F.array_sort(F.collect_list(item)).alias("all"))
     placed = listed.withColumn("at", _clusters(F.col("all"))).select("doc_id", "zone", "kind", F.col("name").alias("signature"), F.explode(F.arrays_zip("all", "at")).alias("m"))
     placed = placed.select("doc_id", "zone", "kind", "signature", F.col("m.all.shift").alias("shift"), F.col("m.at").cast("int").alias("cluster"), F.col("m.all").alias("item"))
     one = F.count_if((F.col("kind") == "number") & (F.col("item.number") == 1))
@@ -84,9 +86,19 @@ def marked(found: DataFrame, confirmed: DataFrame) -> DataFrame:
     return flagged.where(F.exists("lines", lambda y: F.abs(F.col("y_ratio") - y) <= Y_NEAR)).drop("lines", "sure")
 
 
+def find(entries: DataFrame, boxes: DataFrame) -> DataFrame:
+    """The margins of all documents; the candidates, a small part of the entries, are written once, as they are read twice."""
+    found = landed(candidates(entries, boxes))
+    return marked(found, repeated(found, boxes))
+
+
 def without(entries: DataFrame, margins: DataFrame) -> DataFrame:
-    """The entries that are no margin, as they were."""
-    return entries.join(margins.select(*PAGE, "entry_idx"), [*PAGE, "entry_idx"], "left_anti")
+    """The entries that are no margin, as they were.
+
+    They meet their page's list of margins, so that they lie by page for what follows.
+    """
+    gone = margins.groupBy(*PAGE).agg(F.collect_set("entry_idx").alias("_gone"))
+    return entries.join(gone, PAGE, "left").where(F.col("_gone").isNull() | ~F.array_contains("_gone", F.col("entry_idx"))).drop("_gone")
 
 
 def artifacts(entries: DataFrame, margins: DataFrame) -> DataFrame:

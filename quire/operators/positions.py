@@ -10,9 +10,19 @@ PAGE = ["doc_id", "page_no"]
 SKEW = 0.2
 
 
+def _words() -> Column:
+    return F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\r]+"), lambda w: w != "")
+
+
+def pages_of_words(docs: DataFrame, per_page: int = 100) -> DataFrame:
+    """doc_id, page_no of the pages that ``from_words`` fills."""
+    last = F.ceil(F.size(_words()) / per_page).cast("int") - 1
+    return docs.select("doc_id", last.alias("last")).where("last >= 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("page_no"))
+
+
 def from_words(docs: DataFrame, per_page: int = 100) -> DataFrame:
     """A deterministic two-column layout of the documents' words, as positioned text entries."""
-    words = docs.select("doc_id", F.posexplode(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\r]+"), lambda w: w != "")).alias("i", "text"))
+    words = docs.select("doc_id", F.posexplode(_words()).alias("i", "text"))
     j = F.col("i") % per_page
     zero, one = F.lit(0.0), F.lit(1.0)
     x, y = 20.0 + 330.0 * (j % 2), 800.0 - 14.0 * F.floor(j / 2)

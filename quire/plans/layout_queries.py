@@ -86,7 +86,7 @@ _BOX = (10.0, 20.0, 605.0, 862.0)
 
 def with_footers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     entries = words(spark, sf_dir)
-    boxes = entries.select("doc_id", "page_no").distinct().withColumn("box", F.array(*map(F.lit, _BOX)))
+    boxes = positions.pages_of_words(table(spark, sf_dir, "documents")).withColumn("box", F.array(*map(F.lit, _BOX)))
     one, zero = F.lit(1.0), F.lit(0.0)
     line = lambda idx, x, y, text, b=zero: boxes.select("doc_id", "page_no", F.lit(idx).alias("entry_idx"), one.alias("a"), b.alias("b"), zero.alias("c"), one.alias("d"), x.alias("x"), y.alias("y"), text.alias("text"), F.lit(8.0).alias("font_size"))
     alternate = F.when(F.col("page_no") % 2 == 0, 45.6).otherwise(46.8)  # of the width 0.0598 and 0.0618
@@ -133,8 +133,7 @@ def repeated_margin_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {MARGINS} SELECT doc_id, page_no, count(*) AS n, max(entry_idx) AS last FROM every ANTI JOIN gone USING (doc_id, page_no, entry_idx) GROUP BY doc_id, page_no")
 def margins_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries, boxes = with_footers(spark, sf_dir)
-    found = margins.candidates(entries, boxes)
-    kept = margins.without(entries, margins.marked(found, margins.repeated(found, boxes)))
+    kept = margins.without(entries, margins.find(entries, boxes))
     return kept.groupBy("doc_id", "page_no").agg(F.count("*").alias("n"), F.max("entry_idx").alias("last"))
 
 
@@ -145,8 +144,7 @@ FROM every SEMI JOIN (SELECT * FROM gone WHERE zone = 'footer' AND entry_idx < 5
 def margin_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the footers the line of the report and its page number."""
     entries, boxes = with_footers(spark, sf_dir)
-    found = margins.candidates(entries, boxes)
-    out = margins.marked(found, margins.repeated(found, boxes)).where("zone = 'footer' AND entry_idx < 5003")
+    out = margins.find(entries, boxes).where("zone = 'footer' AND entry_idx < 5003")
     return margins.artifacts(entries, out).select("doc_id", "page_no", "zone", "text", "left", F.round("bottom", 6).alias("bottom"))
 
 
