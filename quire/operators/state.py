@@ -123,7 +123,8 @@ def total(states: DataFrame) -> DataFrame:
 def report(states: DataFrame) -> DataFrame:
     """connector, indexer, json, line: each indexer's run for machines and for people."""
     result = F.to_json(F.struct(*COUNTERS, F.col("next_cursor").alias("nextCursor"), F.col("has_more").alias("hasMore")))
-    json = F.concat(F.lit('{"status":"'), "status", F.lit('","indexer":'), F.to_json(F.struct(F.col("indexer").alias("i"))).substr(F.lit(6), F.length("indexer") + 2), F.lit(',"result":'), result, F.lit("}"))
+    written = F.to_json(F.struct(F.col("indexer").alias("i")))  # {"i":"..."}
+    json = F.concat(F.lit('{"status":"'), "status", F.lit('","indexer":'), written.substr(F.lit(6), F.length(written) - 6), F.lit(',"result":'), result, F.lit("}"))
     shown = lambda c: F.concat(F.lit(c.capitalize() + ": "), F.col(c).cast("string"))
     cursor = F.when(F.col("next_cursor") == "0|", "-").otherwise(F.col("next_cursor"))
     line = F.concat_ws(", ", *[shown(c) for c in COUNTERS], F.concat(F.lit("Next cursor: "), cursor), F.concat(F.lit("Has more: "), F.when(F.col("has_more"), "yes").otherwise("no")))
