@@ -10,7 +10,7 @@ from quire.functions import cursor, json_path, text, urls
 from quire.operators import chunks, documents, incremental, positions, retrieval
 from quire.plans import ingest_queries, layout_queries, search_queries
 from quire.plans.sql import SQL
-from quire.sources.tables import table
+from quire.sources.tables import lookup, table
 
 THRESHOLD, QUERY = 0.5, "Der thing!"
 CURSOR = cursor.parse("1704200000|50")
@@ -98,6 +98,24 @@ def text_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.normalise(F.coalesce("text", F.lit(""))).alias("text"))
 
 
+def joined_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words as blocks, of which some end with a hyphen."""
+    blocks = F.transform(F.split(F.coalesce("text", F.lit("")), " "), lambda w: F.when((F.length(w) % 3 == 0) & (w != ""), F.concat(w, F.lit("-"))).otherwise(w))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.join_blocks(blocks).alias("text"))
+
+
+def list_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = F.array_sort(text.split_list(F.replace(F.coalesce("text", F.lit("")), F.lit(" the "), F.lit(", "))))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(entries).alias("n"), F.array_join(entries, "|").alias("entries"))
+
+
+def product_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products by ids that are padded, repeated and blank at times."""
+    labels = table(spark, sf_dir, "labels").select(F.concat(F.lit(" "), F.col("doc_id").cast("string"), F.lit(" ")).alias("p_partkey"))
+    ids = labels.unionByName(labels).unionByName(labels.limit(1).withColumn("p_partkey", F.lit(" ")))
+    return lookup(table(spark, sf_dir, "part").select("p_partkey", "p_name"), ids, "p_partkey")
+
+
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = F.array_sort(text.query_terms(F.coalesce("text", F.lit(""))))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(terms).alias("n_terms"), F.array_join(terms, " ").alias("terms"))
@@ -160,7 +178,7 @@ def html_first_href(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FLAGSHIP = retrieval_topk_excerpts
-_ALL = (retrieval_topk_excerpts, retrieval_two_excerpts, captured_row_normalisation, incremental_keyset_batch, incremental_metrics, latest_per_key_upsert, latest_active_per_key, cleanup_anti_join, association_expand, json_path_fields, product_document, structured_metadata, text_normalise, query_terms, html_text, chunks_with_offsets, chunk_line_overlap, nearest_key, dedup_rounded, page_documents, interval_union_gaps, upper_median_gap, greedy_clusters, html_first_href)
+_ALL = (retrieval_topk_excerpts, retrieval_two_excerpts, captured_row_normalisation, incremental_keyset_batch, incremental_metrics, latest_per_key_upsert, latest_active_per_key, cleanup_anti_join, association_expand, json_path_fields, product_document, structured_metadata, text_normalise, joined_blocks, list_entries, product_lookup, query_terms, html_text, chunks_with_offsets, chunk_line_overlap, nearest_key, dedup_rounded, page_documents, interval_union_gaps, upper_median_gap, greedy_clusters, html_first_href)
 _MODULES = (layout_queries, ingest_queries, search_queries)
 
 

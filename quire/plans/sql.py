@@ -124,4 +124,11 @@ chosen2 AS (SELECT id, start, part FROM one UNION ALL SELECT id, start, part FRO
 numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY start) AS place FROM chosen2)
 SELECT source AS result_group, c.id || '#excerpt-' || coalesce(place, 1) AS id, score, CASE WHEN b.id IS NULL THEN substr(c.text, 1, 120) ELSE trim(part, ' ' || chr(9) || chr(10) || chr(13) || chr(11)) END AS text
 FROM chosen c LEFT JOIN numbered b ON b.id = c.id""",
+    "joined_blocks": r"""
+WITH b AS (SELECT conv_id, turn, list_filter(list_transform(string_split(coalesce(text, ''), ' '), lambda w: trim(CASE WHEN len(w) % 3 = 0 AND w <> '' THEN w || '-' ELSE w END)), lambda w: w <> '') AS w FROM conversations)
+SELECT conv_id, turn, list_reduce(w, lambda done, x: CASE WHEN done = '' THEN x WHEN regexp_matches(done, '\p{L}-$') AND regexp_matches(x, '^\p{Ll}') THEN done[1:len(done) - 1] || x ELSE done || chr(10) || chr(10) || x END, '') AS text FROM b""",
+    "list_entries": r"""
+SELECT conv_id, turn, CAST(len(e) AS INTEGER) AS n, array_to_string(e, '|') AS entries FROM (
+  SELECT conv_id, turn, list_sort(list_distinct(list_filter(list_transform(string_split_regex(replace(coalesce(text, ''), ' the ', ', '), '[\r\n,]+'), lambda t: trim(t)), lambda t: t <> ''))) AS e FROM conversations)""",
+    "product_lookup": "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT doc_id FROM labels)",
 }
