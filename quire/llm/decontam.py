@@ -2,10 +2,12 @@
 
 Of each 9 neighbouring 5-gram hashes of a document the least is kept, so any
 13 words that it shares with an item hold a kept one.  Items keep every 5-gram
-that is least of some window, ties included.  Both sides carry the words
-around their gram; joined on the hash, a hit is extended word by word in both
-directions, and counts from 13 equal words on.  Items of fewer than 13 words
-are joined as whole sequences with the documents' sequences of that length.
+that is least of some window, ties included.  A document's kept gram whose hash
+is one of theirs is extended to all 13 words that hold it, and those that are
+an item's count: only whole shared windows are joined with items, so a phrase
+that many items and documents have in common does not multiply them.  Items of
+fewer than 13 words are joined as whole sequences with the documents' sequences
+of that length.
 
 Defined results: a null text has no words and no hits; an item without words
 fits nowhere; an item without an id marks words but is not listed; documents
@@ -87,33 +89,29 @@ def _document_prints(text: Column) -> Column:
     return let(words_of(text), of)
 
 
-def _item_prints(items: DataFrame) -> DataFrame:
-    """item_id, hash, item_before, item_around: every gram that is least of some window of an item of 13 or more words."""
+def _item_grams(items: DataFrame) -> DataFrame:
+    """hash: every gram that is least of some window of an item of 13 or more words, each once."""
 
     def of(words: Column) -> Column:
-        def picked(h: Column) -> Column:
-            def places(i: Column) -> Column:
-                window = F.slice(h, i, WINDOW)
-                return F.transform(F.filter(F.sequence(i, i + WINDOW - 1), lambda j: F.element_at(h, j) == F.array_min(window)), lambda j: j)
+        least = lambda h: F.transform(F.sequence(F.lit(1), F.size(words) - SPAN + 1), lambda i: F.array_min(F.slice(h, i, WINDOW)))
+        return let(_hashes(words), lambda h: F.array_distinct(least(h)))
 
-            at = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.size(words) - SPAN + 1), places)))
+    return items.where(F.size("words") >= SPAN).select(F.explode(of(F.col("words"))).alias("hash")).distinct()
 
-            def entry(j: Column) -> Column:
-                before, around = _around(words, j)
-                return F.struct(F.element_at(h, j).alias("hash"), before.alias("item_before"), around.alias("item_around"))
 
-            return F.transform(at, entry)
+def _item_windows(items: DataFrame) -> DataFrame:
+    """words, item_id: the windows of 13 words of each item that has as many."""
+    w = F.col("words")
+    each = F.transform(F.sequence(F.lit(1), F.size(w) - SPAN + 1), lambda i: F.array_join(F.slice(w, i, SPAN), " "))
+    return items.where(F.size(w) >= SPAN).select(F.explode(each).alias("words"), "item_id").distinct()
 
-        return let(_hashes(words), picked)
 
-    long = items.where(F.size("words") >= SPAN)
-    return long.select("item_id", F.inline(of(F.col("words")))).distinct()
-
-
-def _same(limit: Column, left: Column, right: Column, place) -> Column:
-    """How many of the places 0, 1, ... below ``limit`` hold equal words before the first that does not."""
-    steps = F.when(limit > 0, F.sequence(F.lit(0), limit - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, F.lit(0), lambda n, i: F.when((n == i) & (F.get(left, place(i, 0)) == F.get(right, place(i, 1))), n + 1).otherwise(n))
+def _windows_about(around: Column, before: Column, at: Column) -> Column:
+    """array<struct<words, start>>: the windows of 13 words that hold a gram, within the words around it."""
+    least = F.greatest(F.lit(0), before - (SPAN - GRAM))
+    most = F.least(before, F.size(around) - SPAN)
+    window = lambda i: F.struct(F.array_join(F.slice(around, i + 1, SPAN), " ").alias("words"), (at - before + i).alias("start"))
+    return F.when(most >= least, F.transform(F.sequence(least, most), window))
 
 
 def _shared(df: DataFrame, words: Column) -> DataFrame:
@@ -125,16 +123,13 @@ def _shared(df: DataFrame, words: Column) -> DataFrame:
 def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """key, text_hash, n_words, start, stop, item_id: where documents share 13 words, or a whole shorter item, with items."""
     items = cut(items.select(F.col(item_key).alias("item_id"), words_of(F.col(item_text)).alias("words")))
-    prints = cut(_item_prints(items))
-    prints = _shared(prints, F.array_join("item_around", " "))
+    grams = _shared(cut(_item_grams(items)), F.lit(""))
+    windows = cut(_item_windows(items))
+    windows = _shared(windows, F.col("words"))
     source = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    own = source.select("key", "text_hash", F.inline(_document_prints(F.col("text"))))
-    met = own.join(prints, "hash").withColumn("around", F.split("around", " "))
-    d, i = F.col("around"), F.col("item_around")
-    back = _same(F.least("before", "item_before"), d, i, lambda n, side: F.col("item_before" if side else "before") - 1 - n)
-    ahead = _same(F.least(F.size(d) - F.col("before"), F.size(i) - F.col("item_before")), d, i, lambda n, side: F.col("item_before" if side else "before") + n)
-    long = met.withColumns({"back": back, "ahead": ahead}).where((F.col("back") + F.col("ahead") >= SPAN) & (F.col("ahead") >= GRAM))
-    out = long.select("key", "text_hash", "n_words", (F.col("at") - F.col("back")).alias("start"), (F.col("at") + F.col("ahead") - 1).alias("stop"), "item_id")
+    own = source.select("key", "text_hash", F.inline(_document_prints(F.col("text")))).join(grams, "hash", "left_semi")
+    wide = own.withColumn("around", F.split("around", " ")).select("key", "text_hash", "n_words", F.inline(_windows_about(F.col("around"), F.col("before"), F.col("at"))))
+    out = wide.join(windows, "words").select("key", "text_hash", "n_words", "start", (F.col("start") + SPAN - 1).alias("stop"), "item_id")
     lengths = [r[0] for r in items.select(F.size("words").alias("n")).where(f"n BETWEEN 1 AND {SPAN - 1}").distinct().collect()]  # 12 at most
     if lengths:
         whole = cut(items.where(F.size("words").between(1, SPAN - 1)).select(F.array_join("words", " ").alias("words"), "item_id").distinct())
