@@ -54,3 +54,15 @@ def test_odd_tables(spark, odd, none):
     assert decontam.digest(odd, nothing).count() == 12
     assert decontam.digest(none, nothing).count() == 0
     assert decontam.drop_contaminated(odd, nothing).count() == 12
+
+
+def test_a_phrase_that_all_share_does_not_multiply(spark, make_docs):
+    """Twelve words that 200 items and 200 documents begin with are no hit; one word more is, with its own item only."""
+    phrase = " ".join(f"p{i}" for i in range(12))
+    items = [(i, f"{phrase} item{i} " + " ".join(f"i{i}x{j}" for j in range(20))) for i in range(200)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = make_docs([(i, f"start {phrase} doc{i} and more words here", "en") for i in range(200)] + [(900, f"a {phrase} item7 b", "en"), (901, f"{items[3][1]} tail", "en")])
+    found = decontam.hits(docs, bench)
+    assert {(r["key"], r["item_id"]) for r in found.collect()} == {(900, 7), (901, 3)}
+    rows = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontam.digest(docs, bench).where("n_hit > 0").collect()}
+    assert rows == {900: (13, 1), 901: (33, 1)}
