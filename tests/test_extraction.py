@@ -115,6 +115,8 @@ def test_extraction_end_to_end(spark):
     docs = {r["source_id"]: r for r in extraction.page_documents(made, F.lit("u#x")).collect()}
     assert docs["1#page-2"]["url"] == "u#page=2" and docs["1#page-2"]["page_count"] == 2 and "4#page-1" not in docs
     assert {r["url"] for r in extraction.page_documents(made, F.lit("u#x"), False).collect()} == {"u"}
+    options = spark.createDataFrame([("true",), ("1",), (" True ",), ("0",), ("yes",), (None,)], "o string").select(extraction.links_to_page(F.col("o")).alias("l"))
+    assert [r["l"] for r in options.collect()] == [True, True, True, False, False, False]
     assert extraction.whole_documents(made).where("doc_id = 1").first()["page_count"] == 2
 
 
