@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 #: pieces of up to this many bytes go through the plain contraction
 SHORT = 64
 #: pieces in one recursive query, at most
-CHUNK = 50_000
+CHUNK = 25_000
 #: rows that the rounds of one recursive query may hold, about
 ROOM = 2_000_000
 #: pieces that a worker remembers; more clear its memory
