@@ -20,8 +20,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6 at five-word shingles and similarity 0.8: one document of each group of near copies stays, and every row without an id.
 
-    Null, empty and blank texts are copies of each other.  How it differs from
-    the fingerprints of ``op6_simhash``, and why, stands in ``quire.llm.near``.
+    Null, empty and blank texts are copies of each other.  The method is that of
+    ``op6_simhash`` at the radius this similarity asks for; see ``quire.llm.near``.
     """
     return near.keep_one(docs)
 

@@ -1,18 +1,29 @@
-"""Near copies by shingle similarity, for the corpus pipeline.
+"""Near copies by segment-popcount embedding and shingle similarity, for the corpus pipeline.
 
 Two texts are linked if the Jaccard similarity of their sets of five-word
-shingles is 0.8 or more.  Fingerprints of ``simhash`` cannot find these pairs:
-at that similarity they differ in a tenth to a fifth of their bits, and a radius
-that wide holds 3.9 % of all unrelated pairs of points of its grid.  So texts
-that share a band of minhashes become candidates: with 20 bands of 4, a pair at
-similarity 0.8 is missed with probability 0.00003.  Similarities are exact.
-
-In each band's cell (texts that share it) every text is compared with the
-cell's most central one, in a join.  Where that leaves a cell with texts of
-more than one component, those outside the central text's component are
-compared with all of the cell, in blocks of bounded size; a group of any size
-so is split over many tasks, and no link between candidates is lost.
-Texts that repeat are one.
+shingles is 0.8 or more.  Candidates come by the method of ``simhash``, at the
+radius that this similarity asks for: at 0.8 two fingerprints differ in 0.15 of
+their bits (0.16 for some sets of few shingles), so they have 1,024 bits here.
+Each is mapped to the bit counts of its 2-bit segments.  Texts whose points
+agree in all of a table's segments meet in a cell of the grid.  There the
+Manhattan distance of the points' first 64 segments, a lower bound of the
+Hamming distance, and then the bits themselves must be within the radius.
+The last check is exact: similarities of the sets of shingles.
+
+The segments of a table are as many as leave some hundred texts that meet by
+chance, so they grow with the logarithm of the rows, and the tables are as many
+as miss a pair at similarity 0.8 with a probability below 0.00001; 40 of the
+first 128 bits miss as few.  Both are by calculation.  Sets of four and of five
+shingles that share four differ in 0.19 of the bits; of those pairs 0.0002 (50,000
+texts) to 0.0003 (236,000) are missed by the tables and 0.0002 by the radius.
+
+Candidates of a text that has few in a cell are listed as pairs.  Texts with
+many stay together, by the candidates that connect them; so do all texts of a
+cell beyond ``CROWD``.  In such a group every text is compared with the group's
+most central one, in a join.  Where that leaves a group with texts of more than
+one component, those outside the central text's component are compared with all
+of the group, in blocks of bounded size; a group of any size so is split over
+many tasks, and no link between candidates is lost.  Texts that repeat are one.
 
 Defined results: words are as in ``simhash``; a null text or one without words
 is a copy of any other such; a text of fewer words is one shingle; rows without
@@ -25,6 +36,7 @@ names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +48,22 @@ from quire.llm._common import cut, drop, map_text
 from quire.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, WIDTH = 20, 4
+#: 64-bit words of a fingerprint; those that a cell's texts are compared by, and the bits that may differ there
+WORDS, FIRST, RADIUS = 16, 2, 40
+SEGMENTS = WORDS * 32
+#: the most bits that differ at the similarity, as a share; a pair is missed by all tables with less than this probability
+FLIP, MISS = 0.1612, 0.00001
+#: texts that meet in a cell by chance, about
+MEET = 500
+#: candidates of a text in a cell that are listed as pairs
+FEW = 8
+#: texts of a cell that are compared in one task, at least
+CROWD = 20_000
 #: shingles of one side of a comparison in one task
 ROOM = 400_000
-#: shingles whose minhashes are taken at a time
-BLOCK = 2_048
-_FACTORS = np.random.default_rng(7).integers(0, 1 << 63, (BANDS * WIDTH, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: shingles that are counted at a time, and of a text in its blocks' comparisons
+VOTES, BLOCK = 255, 2_048
+_STREAM = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -66,17 +88,136 @@ def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     return np.array(list({digest(s) for s in map(b" ".join, zip(*(words[i:] for i in range(size))))}), dtype=np.uint64)
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """One signed value for each band of minhashes."""
+def fingerprint(hashes: np.ndarray) -> bytes | None:
+    """The bits that are set in over half of the hashes, each drawn out to all words (SplitMix64); none for no hashes."""
+    if not len(hashes):
+        return None
+    counts = np.zeros(64 * WORDS, dtype=np.int64)
+    for at in range(0, len(hashes), VOTES):  # as many as a byte can count
+        x = hashes[at : at + VOTES, None] + _STREAM
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        counts += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes()
+
+
+def grid_points(bits: np.ndarray) -> np.ndarray:
+    """The counts of set bits in each pair of bits as 00, 01 and 11, so that the bits in which two points differ are their Manhattan distance."""
+    odd, one = np.uint64(0x5555555555555555), np.uint64(1)
+    low, high = bits & odd, (bits >> one) & odd
+    return low | high | ((low & high) << one)
+
+
+def tables(texts: int) -> np.ndarray:
+    """The segments of each table of the grid, one row a table, for so many texts."""
+    same = (1 - FLIP) ** 2 + FLIP**2 / 2  # a segment's count stays, or both bits change and it stays
+    size = max(2, round(math.log(max(1, texts / MEET), 8 / 3)))  # of chance pairs 3 of 8 agree in a segment
+    n = math.ceil(math.log(MISS) / math.log1p(-(same**size)))
+    each = SEGMENTS // size  # tables without a common segment
+    if n > each:
+        differ = np.arange(SEGMENTS + 1)
+        weight = np.array([math.comb(SEGMENTS, k) * (1 - same) ** k * same ** (SEGMENTS - k) for k in differ.tolist()])
+        meet = (1 - differ / SEGMENTS) ** size
+        while (weight * (1 - meet) ** n).sum() > MISS:
+            n += 1
+    draw = np.random.default_rng(11)
+    rounds = [draw.permutation(SEGMENTS)[: each * size].reshape(each, size) for _ in range(-(-n // each))]
+    return np.concatenate(rounds)[:n]
+
+
+def grid_cells(prints: DataFrame, picks: np.ndarray) -> DataFrame:
+    """cell, node, w0, w1 of (node, print): a row for each table, with the words to compare by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = picks.shape[1]
+        for batch in batches:
+            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, 8 * WORDS)
+            first = raw.view("<i8")[:, :FIRST]
+            bits = np.unpackbits(raw, axis=1, bitorder="little")
+            counts = bits[:, ::2] + bits[:, 1::2]
+            for t, pick in enumerate(picks):
+                cell = counts[:, pick] @ 3 ** np.arange(size, dtype=np.int64) + t * 3**size
+                yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column(0), *(pa.array(first[:, w]) for w in range(FIRST))], names=["cell", "node", "w0", "w1"])
+
+    return prints.select("node", "print").mapInArrow(run, "cell long, node long, w0 long, w1 long")
+
+
+def meet(nodes: np.ndarray, bits: np.ndarray, few: int) -> tuple[list, list]:
+    """Candidates of one cell: those of texts with few as pairs (node, node), other texts as (least node of theirs, node).
+
+    Every pair within the radius is among the pairs, or both are with the same least node.
+    """
+    n, points = len(nodes), grid_points(bits)
+    root, dense, pairs = np.arange(n), np.zeros(n, dtype=bool), []
+    step = max(1, (1 << 19) // n)
+    for at in range(0, n, step):
+        far = np.zeros((min(step, n - at), n), dtype=np.uint8)
+        for w in range(FIRST):
+            far += np.bitwise_count(points[w, at : at + step, None] ^ points[w])
+        i, j = np.divmod(np.flatnonzero(far <= RADIUS), n)
+        i += at
+        keep = i != j
+        i, j = i[keep], j[keep]
+        keep = sum(np.bitwise_count(bits[w, i] ^ bits[w, j]) for w in range(FIRST)) <= RADIUS
+        i, j = i[keep], j[keep]
+        degree = np.bincount(i - at, minlength=len(far))
+        listed = degree[i - at] <= few
+        pairs.append(np.stack([nodes[i[listed]], nodes[j[listed]]]))
+        ends = np.searchsorted(i, np.arange(at, at + len(far) + 1))
+        for q in np.flatnonzero(degree > few).tolist():
+            dense[at + q] = True
+            of = root[j[ends[q] : ends[q + 1]]]
+            if (of != root[at + q]).any():
+                of = np.append(of, root[at + q])
+                root[np.isin(root, of)] = of.min()
+    crowd = np.flatnonzero(dense)
+    least = {}
+    for k in crowd.tolist():
+        least[root[k]] = min(least.get(root[k], nodes[k]), nodes[k])
+    return np.concatenate(pairs, axis=1).T.tolist(), [(int(least[root[k]]), int(nodes[k])) for k in crowd.tolist()]
+
+
+def candidates(prints: DataFrame, texts: int) -> DataFrame:
+    """cell, node, other of (node, print), so many texts: pairs of nodes without a cell, and groups that share a cell, without other."""
     import xxhash
 
-    if not len(hashes):
-        return []
-    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), BLOCK):
-        np.minimum(least, (_FACTORS * hashes[at : at + BLOCK]).min(axis=1), out=least)
-    raw = least.reshape(BANDS, WIDTH)
-    return [int(np.uint64(xxhash.xxh64_intdigest(raw[b].tobytes(), b)).astype(np.int64)) for b in range(BANDS)]
+    picks = tables(texts)
+    # an outermost cell of the grid holds one in 2 ** size of unrelated points
+    few, crowd = FEW, max(CROWD, texts * 4 >> picks.shape[1])
+    schema = pa.schema([("cell", pa.int64()), ("node", pa.int64()), ("other", pa.int64())])
+
+    def rows_of(cell: int, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(parts, axis=1)
+        nodes = rows[0]
+        if len(nodes) < 2:
+            return
+        if len(nodes) > crowd:
+            pairs, groups = [], [(0, int(k)) for k in nodes]
+        else:
+            pairs, groups = meet(nodes, rows[1:].view(np.uint64), few)
+        name = {g: int(np.uint64(xxhash.xxh64_intdigest(np.array([cell, g]).tobytes())).astype(np.int64)) for g, _ in groups}
+        found = [(None, a, b) for a, b in pairs] + [(name[g], k, None) for g, k in groups]
+        for at in range(0, len(found), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found[at : at + 10_000])], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            cells = batch.column(0).to_numpy()
+            rows = np.stack([batch.column(c).to_numpy() for c in range(1, 2 + FIRST)])
+            starts = np.flatnonzero(np.diff(cells, prepend=cells[:1] - 1)).tolist()
+            for a, b in zip(starts, starts[1:] + [len(cells)]):
+                if cells[a] != now:
+                    if parts:
+                        yield from rows_of(now, parts)
+                    now, parts = int(cells[a]), []
+                parts.append(rows[:, a:b])
+        if parts:
+            yield from rows_of(now, parts)
+
+    dealt = grid_cells(prints, picks).repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(run, "cell long, node long, other long")
 
 
 def close(shared, left, right, similarity: float = SIMILARITY):
@@ -152,14 +293,15 @@ def _blocks(cells: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
     return both.join(sets, "node").groupBy("cell", "i", "j").applyInPandas(compare, "a long, b long")
 
 
-def linked(cells: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, root over links of similar texts; ``cells`` is (cell, node) of cells with several nodes, ``texts`` (node, t)."""
+def linked(listed: DataFrame, cells: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, root over links of similar texts; ``listed`` is (node, other), ``cells`` (cell, node) of cells with several nodes, ``texts`` (node, t)."""
     sets = cut(shingle_sets(texts))
     often = cells.groupBy("cell").agg(F.count("*").alias("n"))
     central = cells.join(often, "cell").groupBy("node").agg(F.sum("n").alias("central"))
     hubs = cells.join(central, "node").groupBy("cell").agg(F.max(F.struct("central", F.col("node").alias("hub"))).alias("top"))
     placed = cut(cells.join(hubs, "cell").select("cell", "node", F.col("top.hub").alias("hub")))
-    pairs = placed.where("node <> hub").select("node", "hub").distinct()
+    pairs = placed.where("node <> hub").select("node", "hub").unionByName(listed.withColumnRenamed("other", "hub"))
+    pairs = pairs.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub")).distinct()
     mine, other = sets.toDF("node", "size", "own"), sets.toDF("hub", "hub_size", "theirs")
     # sizes alone rule out most texts of different length
     near = pairs.join(mine.select("node", "size"), "node").join(other.select("hub", "hub_size"), "hub").where(close(F.least("size", "hub_size"), F.col("size"), F.col("hub_size"))).select("node", "hub")
@@ -182,18 +324,20 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     def one(t: str) -> tuple:
         words = words_of(t)
-        return node_of(words), bands(shingles(words))
-
-    marked = map_text(keyed, "id", "t", one, [("node", "long"), ("bands", "array<long>")])
-    distinct = cut(marked.groupBy("node").agg(F.min("id").alias("id"), F.min("bands").alias("bands")))
-    cells = distinct.select("node", F.explode("bands").alias("cell"))
-    cells = cut(cells.join(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"), "cell").select("cell", "node"))
-    asked = distinct.select("node", "id").join(cells.select("node").distinct(), "node")
+        return node_of(words), fingerprint(shingles(words))
+
+    marked = map_text(keyed, "id", "t", one, [("node", "long"), ("print", "binary")])
+    distinct = cut(marked.groupBy("node").agg(F.min("id").alias("id"), F.min("print").alias("print")))
+    prints = distinct.where("print IS NOT NULL")
+    met = cut(candidates(prints, prints.count()))
+    listed, cells = met.where("cell IS NULL").select("node", "other"), met.where("cell IS NOT NULL").select("cell", "node")
+    some = met.select(F.explode(F.array("node", "other")).alias("node")).where("node IS NOT NULL").distinct()
+    asked = distinct.select("node", "id").join(some, "node")
     texts = keyed.join(asked, "id").groupBy("node").agg(F.first("t").alias("t"))
-    roots = linked(cells, texts)
+    roots = linked(listed, cells, texts)
     least = distinct.select("node", "id").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("id").alias("id"))
     stay = cut(least.select(F.col("id.key").alias("_stay"), F.col("id.hash").alias("_hash")))
-    drop(distinct, cells, roots)
+    drop(distinct, met, roots)
     mark = "_hash"
     while mark in docs.columns:
         mark += "_"

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 
 from quire.llm import near
 
@@ -90,3 +91,63 @@ def test_odd_rows(odd, none):
     assert kept.columns == odd.columns
     assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 4, 5, 7, 8, 9, 10]
     assert kept.where("doc_id IS NULL").count() == 1 and near.keep_one(none).count() == 0
+
+
+def sets_at_the_edge(draw, n, shared):
+    """Pairs of sets of hashes of similarity 0.8, each of its own hashes."""
+    for _ in range(n):
+        own = np.array([draw.getrandbits(64) for _ in range(shared * 5 // 4)], dtype=np.uint64)
+        cut = draw.randrange(shared, len(own) + 1)
+        yield own[:cut], np.concatenate([own[:shared], own[cut:]])
+
+
+def test_fingerprints_at_the_edge_meet_in_the_grid():
+    draw = random.Random(3)
+    picks = near.tables(50_000)
+    assert len(set(map(tuple, picks.tolist()))) == len(picks) > 1 and all(len(set(p)) == len(p) for p in picks.tolist())
+    for shared in (12, 40, 400):
+        for pair in sets_at_the_edge(draw, 60, shared):
+            bits = [np.frombuffer(near.fingerprint(s), dtype=np.uint64) for s in pair]
+            apart = np.bitwise_count(bits[0] ^ bits[1])
+            assert (np.bitwise_count(near.grid_points(bits[0]) ^ near.grid_points(bits[1])) <= apart).all()
+            assert apart[: near.FIRST].sum() <= near.RADIUS
+            counts = [np.unpackbits(b.view(np.uint8), bitorder="little").reshape(-1, 2).sum(axis=1) for b in bits]
+            assert (counts[0][picks] == counts[1][picks]).all(axis=1).any()
+
+
+def test_candidates_of_a_cell_are_pairs_or_in_one_group():
+    draw = np.random.default_rng(8)
+    bits = draw.integers(0, 1 << 63, (near.FIRST, 90), dtype=np.uint64)
+    for at, members in ((0, 30), (40, 5), (50, 20)):  # near copies of one, some also near each other
+        for k in range(at + 1, at + members):
+            bits[:, k] = bits[:, at]
+            for b in draw.choice(64 * near.FIRST, draw.integers(1, 40), replace=False).tolist():
+                bits[b // 64, k] ^= np.uint64(1 << b % 64)
+    nodes = draw.permutation(10_000)[:90]
+    near_ones = {(int(nodes[i]), int(nodes[j])) for i in range(90) for j in range(90) if i != j and int(np.bitwise_count(bits[:, i] ^ bits[:, j]).sum()) <= near.RADIUS}
+    for few in (0, 8, 90):
+        pairs, groups = near.meet(nodes, bits, few)
+        pairs, of = {tuple(p) for p in pairs}, {k: g for g, k in groups}
+        assert pairs <= near_ones and (few < 90 or not groups) and (few or not pairs)
+        assert all((a, b) in pairs or (b, a) in pairs or of.get(a, -1) == of.get(b, -2) for a, b in near_ones)
+
+
+def test_groups_and_crowds_find_the_same(make_docs, monkeypatch):
+    draw = random.Random(11)
+    word = lambda: f"w{draw.randrange(10**6)}"
+    rows = []
+    for _ in range(3):
+        base = [word() for _ in range(150)]
+        for _ in range(20):
+            some = list(base)
+            for at in draw.sample(range(150), draw.randrange(1, 5)):
+                some[at] = word()
+            rows.append(some)
+    texts = {i: " ".join(r) for i, r in enumerate(rows)}
+    expected = sorted(set(components(texts).values()))
+    for meet, few, crowd in ((500, 0, 20_000), (0.5, 8, 3)):
+        monkeypatch.setattr(near, "MEET", meet)
+        monkeypatch.setattr(near, "FEW", few)
+        monkeypatch.setattr(near, "CROWD", crowd)
+        kept = near.keep_one(make_docs([(i, t, "en") for i, t in texts.items()])).collect()
+        assert sorted(r["doc_id"] for r in kept) == expected
