@@ -151,3 +151,58 @@ def test_groups_and_crowds_find_the_same(make_docs, monkeypatch):
         monkeypatch.setattr(near, "CROWD", crowd)
         kept = near.keep_one(make_docs([(i, t, "en") for i, t in texts.items()])).collect()
         assert sorted(r["doc_id"] for r in kept) == expected
+
+
+def test_a_text_is_dealt_as_often_for_any_number_of_texts(spark, monkeypatch):
+    draw, dealt, grid = np.random.default_rng(4), [], near.grid_cells
+    prints = spark.createDataFrame([(i, draw.bytes(8 * near.WORDS)) for i in range(5)], "node long, print binary")
+    monkeypatch.setattr(near, "grid_cells", lambda *of: dealt.append(grid(*of)) or dealt[-1])
+    for texts in (100, 236_000, 15_000_000):
+        near.candidates(prints, texts)
+    assert {d.count() for d in dealt} == {dealt[0].count()} and dealt[0].count() <= 5 * 40
+
+
+def test_a_text_of_a_large_group_is_compared_in_one_group(make_docs, monkeypatch):
+    draw, given, join = random.Random(13), [], near.linked
+    word = lambda: f"w{draw.randrange(10**6)}"
+    base = [word() for _ in range(150)]
+    texts = {0: " ".join(base)}
+    for i in range(1, 60):
+        some = list(base)
+        some[draw.randrange(150)] = word()
+        texts[i] = " ".join(some)
+    texts |= {i: " ".join(word() for _ in range(80)) for i in range(60, 70)}
+
+    def seen(listed, cells, sets):
+        given.append((cells.count(), cells.select("node").distinct().count()))
+        return join(listed, cells, sets)
+
+    monkeypatch.setattr(near, "linked", seen)
+    kept = near.keep_one(make_docs([(i, t, "en") for i, t in texts.items()])).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, *range(60, 70)]
+    assert given == [(60, 60)]
+
+
+def test_parts_agree_in_their_segments_and_together_lose_no_candidate():
+    draw = np.random.default_rng(6)
+    bits = draw.integers(0, 1 << 63, (near.FIRST, 300), dtype=np.uint64)
+    for k in range(200):  # two large families and single texts
+        bits[:, k] = bits[:, 200 + k % 2]
+        for b in draw.choice(64 * near.FIRST, draw.integers(1, 45), replace=False).tolist():
+            bits[b // 64, k] ^= np.uint64(1 << b % 64)
+    nodes = draw.permutation(10_000)[:300]
+    counts = np.unpackbits(bits.T.copy().view(np.uint8), axis=1, bitorder="little").reshape(300, -1, 2).sum(axis=2)
+    parts = []
+    for pick in near.tables(236_000)[:6, near.WIDE :]:
+        expected, own = {}, pick % (32 * near.FIRST)
+        for k in range(300):
+            expected.setdefault(tuple(counts[k, own]), []).append(k)
+        found = near.parts_of(near.grid_points(bits), pick)
+        assert sorted(p.tolist() for p in found) == sorted(p for p in expected.values() if len(p) > 1)
+        parts += found
+    met = {(int(i), int(j)) for p in parts for i in p for j in p if i != j and int(np.bitwise_count(bits[:, i] ^ bits[:, j]).sum()) <= near.RADIUS}
+    for few in (0, 8, 300):
+        pairs, groups = near.meet(nodes, bits, few, parts)
+        of, listed = {k: g for g, k in groups}, {p for a, b in pairs for p in ((a, b), (b, a))}
+        assert len(of) == len(groups) and all(g == min(k for k in of if of[k] == g) for g in of.values())
+        assert all((nodes[i], nodes[j]) in listed or of.get(nodes[i], -1) == of.get(nodes[j], -2) for i, j in met)
