@@ -1,17 +1,23 @@
 """Approximate nearest neighbours by collision counting.
 
-Each of M random lines sorts a block's projections.  A query opens a window
-around its own projection on every line; virtual rehashing widens all windows
-by a factor.  Vectors that collide with the query on at least ALPHA of the
-lines are verified by their exact inner product.  Windows stop growing when a
-vector as near as the k-th best verified one has collided on so many lines with
-probability SURE; nearer ones have with a greater one.  So the share of rows
-that is verified follows the data, whatever their number, length or dimensions.
-
-Queries meet all rows in blocks of bounded size, and each block gives a query
+Rows are projected on many random lines.  A query takes the lines on which it
+lies furthest out itself and opens a window on each, from the line's end
+inwards; virtual rehashing moves all inner ends further in.  Rows near the query
+lie far out on these lines too, most others do not, so windows hold few rows and
+a row is verified by its exact inner product once it has collided OFTEN times.
+Given the query's place on a line, that of a row follows from their angle alone,
+whatever the other rows are.  Windows stop growing when a vector as near as the
+k-th best verified one has collided so often with probability SURE; nearer ones
+have with a greater one.
+
+Queries meet all rows in blocks of about ROWS, and each block gives a query
 its best k, so neither a group of equal vectors nor a common id makes a task
-large.  Inner products become distances by one added coordinate that brings
-all of a block's vectors to one length.
+large.  Rows are dealt to blocks at random, so a block holds few of the best k of
+all: its windows stop at as many as it holds at most with probability 0.999, and
+the more blocks there are, the fewer rows each counts for a query.  Every query
+still meets every block: the cost is queries times rows, times a share that falls.
+Inner products become angles by one added coordinate that brings all of a
+block's vectors to one length.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components take no part, nor do rows without an id; vectors of different
@@ -30,82 +36,114 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LINES = 64
-ALPHA = 0.6
-#: least probability with which each of a block's best k is verified
+#: lines, and how many of them a query takes
+LINES, OUTER = 1024, 48
+#: collisions after which a row is verified
+OFTEN = 6
+#: least probability with which each of the best k is verified
 SURE = 0.95
-#: first half-width of a window, relative to the common length, and how it grows
-START, GROW = 1.0, 1.08
+#: first inner end of the windows, in deviations of a line's projections, and by how much it moves inwards
+START, STEP = 1.8, 0.2
 ROWS, QUERIES = 8192, 4096
+#: a normal variable's distribution function at steps of 1/256
+GRID = np.linspace(-9.0, 9.0, 4609)
+BELOW = np.array([NormalDist().cdf(x) for x in GRID])
+
+
+def at_least(times: int, of: int, p: float) -> float:
+    """Probability of that many successes or more."""
+    return 1.0 - sum(math.comb(of, i) * p**i * (1 - p) ** (of - i) for i in range(times))
 
 
 @cache
-def reach(lines: int, alpha: float = ALPHA, sure: float = SURE) -> float:
-    """Half-width, in units of a vector's distance, at which it collides on ``alpha`` of the lines with probability ``sure``."""
-    least = math.ceil(alpha * lines)
+def enough(lines: int = OUTER, often: int = OFTEN, sure: float = SURE) -> float:
+    """Mean probability of a collision on one of a query's lines at which a row collides on ``often`` of them with probability ``sure``.
+
+    It is that of equal probabilities; unequal ones of one mean, above ``often``, spread less.
+    """
     low, high = 0.0, 1.0
-    for _ in range(50):  # of one line's probability; a projected difference is normal, its deviation the distance
+    for _ in range(50):
         p = (low + high) / 2
-        tail = sum(math.comb(lines, i) * p**i * (1 - p) ** (lines - i) for i in range(least, lines + 1))
-        low, high = (p, high) if tail < sure else (low, p)
-    return NormalDist().inv_cdf((1 + high) / 2)
+        low, high = (p, high) if at_least(often, lines, p) < sure else (low, p)
+    return high
+
+
+@cache
+def share(k: int, parts: int, sure: float = 0.999) -> int:
+    """How many of the best k one of ``parts`` blocks holds at most, with probability ``sure``, if rows are dealt at random."""
+    return next(i for i in range(1, k + 1) if i == k or at_least(i + 1, k, 1 / parts) <= 1 - sure)
 
 
 class Block:
-    """One block's vectors with their sorted projections."""
+    """One block's vectors with their projections, by lines."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, lines: int = LINES, seed: int = 3):
         self.ids, self.vectors = ids, vectors
-        squares = (vectors * vectors).sum(axis=1)
-        self.length = float(np.sqrt(squares.max()))
-        added = np.sqrt(np.maximum(0.0, self.length**2 - squares))
+        largest = np.abs(vectors).max()
+        unit = vectors / largest
+        squares = (unit * unit).sum(axis=1)
+        unit = np.column_stack([unit, np.sqrt(squares.max() - squares)]) / np.sqrt(squares.max())
+        self.length = float(largest * np.sqrt(squares.max()))
         self.axes = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, lines))
-        flat = vectors @ self.axes[:-1] + added[:, None] * self.axes[-1]
-        self.order = np.ascontiguousarray(np.argsort(flat, axis=0, kind="stable").T)
-        self.sorted = np.ascontiguousarray(np.take_along_axis(flat.T, self.order, axis=1))
-
-    def _windows(self, centres: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
-        """(low, high), each queries by lines: the windows' ends in the sorted arrays."""
-        low = np.stack([np.searchsorted(s, c - width, "left") for s, c in zip(self.sorted, centres.T)], axis=1)
-        high = np.stack([np.searchsorted(s, c + width, "right") for s, c in zip(self.sorted, centres.T)], axis=1)
-        return low, high
-
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int):
-        """For each query the positions and products of its k best rows: best first, ties to the smaller id."""
-        n, lines = len(self.ids), len(self.order)
-        often, far = ALPHA * lines, reach(lines)
+        self.flat = self.axes.T.astype(np.float32) @ unit.T.astype(np.float32)
+        self.last = float(np.abs(self.flat).max())
+        self.rings: list = []
+
+    def _ring(self, level: int) -> tuple[np.ndarray, list]:
+        """What windows of this level add to those of the one before: the rows, line by line, and where each line's begin.
+
+        Lines come twice: as they are and reversed.  A ring is made when a query first needs it.
+        """
+        while level >= len(self.rings):
+            ends = self.ends(len(self.rings))
+            found = [np.divmod(np.flatnonzero((flat > ends[0]) & (flat <= ends[1])), len(self.ids)) for flat in (self.flat, -self.flat)]
+            line = np.concatenate([found[0][0], found[1][0] + len(self.flat)])
+            self.rings.append((np.concatenate([found[0][1], found[1][1]]), np.searchsorted(line, np.arange(2 * len(self.flat) + 1)).tolist()))
+        return self.rings[level]
+
+    def ends(self, level: int) -> tuple[float, float]:
+        """A level's inner end and that of the level before; the last level takes in all rows."""
+        low = START - STEP * level
+        return (low if low > -self.last else -np.inf), (START - STEP * (level - 1) if level else np.inf)
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, parts: int = 1):
+        """For each query the positions and products of its k best rows: best first, ties to the smaller id.
+
+        With ``parts`` blocks, to which rows are dealt at random, windows grow for this block's share of the k; a small block looks for all k.
+        """
+        wanted = share(k, parts) if len(self.ids) >= 16 * k else k
+        for i in range(0, len(queries), 256):
+            yield from self._search(queries[i : i + 256], own[i : i + 256], k, wanted)
+
+    def _search(self, queries: np.ndarray, own: np.ndarray, k: int, wanted: int):
+        n, lines = len(self.ids), len(self.flat)
+        unit = queries / np.abs(queries).max(axis=1, keepdims=True)
+        unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
         norms = np.sqrt((queries * queries).sum(axis=1))
-        scaled = queries * (self.length / norms)[:, None]
-        centres = scaled @ self.axes[:-1]
-        spread = np.abs(self.sorted[:, [0, -1]]).max() + np.abs(centres).max()
-        widths = [START * self.length]
-        while widths[-1] < spread:
-            widths.append(widths[-1] * GROW)
-        ends: list = []  # of all queries, for the widths that any has needed
-        for q in range(len(queries)):
-            counts = low = high = None
-            rough = np.full(n, -np.inf)  # fast products of the verified rows
-            new = self.ids != own[q]
-            for level, width in enumerate(widths):
-                if level == len(ends):
-                    ends.append([x.tolist() for x in self._windows(centres, width)])
-                a, b = ends[level][0][q], ends[level][1][q]
-                if counts is None:
-                    counts = np.bincount(np.concatenate([o[i:j] for o, i, j in zip(self.order, a, b)]), minlength=n)
-                else:  # only what the wider windows add
-                    rings = [o[i:j] for o, i, j in zip(self.order, a, low)] + [o[i:j] for o, i, j in zip(self.order, high, b)]
-                    counts += np.bincount(np.concatenate(rings), minlength=n)
-                low, high = a, b
-                near = np.flatnonzero(new & (counts >= often))
-                rough[near] = self.vectors.take(near, axis=0) @ queries[q]
-                new[near] = False
-                if n > k:
-                    edge = np.partition(rough, n - k)[n - k]  # -inf until k are verified
-                    if width >= far * math.sqrt(max(0.0, 2 * self.length * (self.length - edge / norms[q]))):
+        centres = unit @ self.axes[:-1]
+        outer = np.argpartition(np.abs(centres), lines - OUTER, axis=1)[:, lines - OUTER :]
+        centres = np.take_along_axis(centres, outer, axis=1)
+        sides = outer + lines * (centres < 0)
+        for q, centre in enumerate(np.abs(centres)):
+            counts, new = np.zeros(n, dtype=np.int64), self.ids != own[q]
+            near, rough = np.empty(0, dtype=np.int64), np.empty(0)  # the verified rows and their fast products
+            low, level = np.inf, 0
+            while low > -np.inf:
+                low = self.ends(level)[0]
+                rows, starts = self._ring(level)
+                counts += np.bincount(np.concatenate([rows[starts[s] : starts[s + 1]] for s in sides[q].tolist()]), minlength=n)
+                level += 1
+                more = np.flatnonzero(new & (counts >= OFTEN))
+                if len(more):
+                    new[more] = False
+                    near, rough = np.concatenate([near, more]), np.concatenate([rough, self.vectors.take(more, axis=0) @ queries[q]])
+                if len(near) >= wanted:
+                    cosine = np.partition(rough, -wanted)[-wanted] / (norms[q] * self.length)
+                    reached = (cosine * centre - low) / math.sqrt(max(1e-12, 1.0 - cosine * cosine))
+                    if np.interp(reached, GRID, BELOW).mean() >= enough():
                         break
-            near = np.flatnonzero(rough > -np.inf)
             if len(near) > k:  # what may be among the best; a fast product's rounding is far below the margin
-                near = near[rough[near] >= edge - 1e-9 * max(1.0, abs(edge))]
+                near = near[rough >= np.partition(rough, -k)[-k] - 1e-9 * norms[q] * self.length]
             products = (self.vectors[near] * queries[q]).sum(axis=1)
             best = np.lexsort((self.ids[near], -products))[:k]
             yield near[best], products[best]
@@ -125,22 +163,24 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id",
     n, m = rows.count(), asked.count()
     parts, turns = max(1, -(-n // ROWS)), max(1, -(-m // QUERIES))
     number = F.monotonically_increasing_id()
-    left = rows.withColumn("part", F.pmod(number, F.lit(parts)).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    left = rows.withColumn("part", F.pmod(F.xxhash64(number), F.lit(parts)).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
     right = asked.withColumn("turn", F.pmod(F.xxhash64("id"), F.lit(turns)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def meet(a, b):
         import pandas as pd
 
-        out = []
+        asked, found_ids, scores = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         if len(a) and len(b):
             sizes, wants = a["v"].map(len), b["v"].map(len)
             for size in sorted(set(sizes) & set(wants)):
                 own, ask = a[sizes == size], b[wants == size]
                 block = Block(own["id"].to_numpy(np.int64), np.stack(own["v"].to_numpy()).astype(np.float64))
                 ids = ask["id"].to_numpy(np.int64)
-                for q, (at, score) in zip(ids.tolist(), block.search(np.stack(ask["v"].to_numpy()).astype(np.float64), ids, k)):
-                    out.append(pd.DataFrame({"query_id": q, "vec_id": block.ids[at], "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+                for q, (at, score) in zip(ids, block.search(np.stack(ask["v"].to_numpy()).astype(np.float64), ids, k, parts)):
+                    asked.append(np.full(len(at), q))
+                    found_ids.append(block.ids[at])
+                    scores.append(score)
+        return pd.DataFrame({"query_id": np.concatenate(asked), "vec_id": np.concatenate(found_ids), "score": np.concatenate(scores)})
 
     found = left.groupBy("part", "turn").cogroup(right.groupBy("part", "turn")).applyInPandas(meet, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -69,3 +69,44 @@ def test_fewer_rows_than_asked_for():
     assert recall(np.arange(15), draw.standard_normal((15, 8)), k=14) == 1.0
     found = [len(at) for at, _ in ann.Block(np.arange(15), draw.standard_normal((15, 8))).search(draw.standard_normal((3, 8)), np.array([0, 1, 99]), 20)]
     assert found == [14, 14, 15]
+
+
+def collisions(monkeypatch, block, vectors, **more):
+    """Collisions counted for a row and query."""
+    sizes, real = [], np.bincount
+    with monkeypatch.context() as m:
+        m.setattr(np, "bincount", lambda x, *a, **b: sizes.append(len(x)) or real(x, *a, **b))
+        list(block.search(vectors[:50], np.arange(50), 20, **more))
+    return sum(sizes) / (50 * len(vectors))
+
+
+def test_windows_hold_few_rows(monkeypatch):
+    unit = np.random.default_rng(2).standard_normal((ann.ROWS, 64))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    block = ann.Block(np.arange(ann.ROWS), unit)
+    alone = collisions(monkeypatch, block, unit)
+    assert alone < 6
+    assert collisions(monkeypatch, block, unit, parts=100) < collisions(monkeypatch, block, unit, parts=7) < alone
+
+
+def test_blocks_of_a_large_table_look_for_their_share():
+    draw, parts = np.random.default_rng(4), 4
+    unit = draw.standard_normal((parts * ann.ROWS, 64))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    part, asked, hit = draw.integers(0, parts, len(unit)), np.arange(0, 1000, 20), 0
+    got = [[] for _ in asked]
+    for p in range(parts):
+        ids = np.flatnonzero(part == p)
+        for some, (at, score) in zip(got, ann.Block(ids, unit[ids]).search(unit[asked], asked, 20, parts)):
+            some += zip(-score, ids[at])
+    for q, some in zip(asked, got):
+        products = unit @ unit[q]
+        products[q] = -np.inf
+        hit += len(set(np.argsort(-products)[:20]) & {i for _, i in sorted(some)[:20]})
+    assert hit / (20 * len(asked)) >= 0.9
+
+
+def test_few_rows_in_one_of_many_blocks():
+    draw = np.random.default_rng(5)
+    found = [len(at) for at, _ in ann.Block(np.arange(30), draw.standard_normal((30, 8))).search(draw.standard_normal((2, 8)), np.array([0, 99]), 40, 1000)]
+    assert found == [29, 30]
