@@ -2,68 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StructField, StructType
 
-from quire.pages.alignment import HEX_GROUP, LONG_HEX, MOJIBAKE, PLACES, RUNS, SHOWS, shown_json
+from quire.operators.pages import bounded, plain
+from quire.pages.alignment import PLACES, RUNS, SHOWS, chosen, goes_on
 
 PAGE = ["doc_id", "page_no"]
 #: as far as a run may lie from where the one before started, to go on from it
 NEAR = 0.5
 
 
-def shown_text(operand: Column) -> Column:
-    """Text of operands written as JSON, whose lists may be of any depth."""
-
-    @F.pandas_udf("string")
-    def flat(values):
-        return values.map(shown_json, na_action="ignore")
-
-    return flat(operand)
-
-
-def usable(raw: Column, decoded: Column) -> Column:
-    """Whether a command's own bytes (binary) say more than the text that its font decodes to."""
-    text = raw.cast("string")
-    strange = lambda t: t.rlike(MOJIBAKE.pattern)
-    is_hex = lambda t: t.rlike("^[0-9A-Fa-f]+$")
-    size = F.length(text)
-    bad = strange(text) & ~strange(decoded)
-    bad = bad | (is_hex(text) & (size >= LONG_HEX) & (size % 2 == 0) & ~is_hex(decoded))
-    bad = bad | (is_hex(text) & (size >= HEX_GROUP) & (size % HEX_GROUP == 0) & decoded.rlike(r"[^\x00-\x7F]"))
-    return F.is_valid_utf8(raw) & ~bad
-
-
-def shows(commands: DataFrame) -> DataFrame:
-    """doc_id, page_no, place, raw, continues: the commands that show text, numbered from 0 in each page.
-
-    ``commands`` is (doc_id, page_no, cmd_idx, op, operand, raw): the bytes, if
-    there, stand for the operand.  A command goes on from the one before if
-    nothing set a position between them.
-    """
-    by = Window.partitionBy(*PAGE).orderBy("cmd_idx")
-    # the last place and the last show before a command; the greater of them came last
-    last = lambda which: F.max(F.when(F.col("op").isin(*which), F.col("cmd_idx"))).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    seen = commands.withColumns({"_set": last(PLACES), "_shown": last(SHOWS)}).where(F.col("op").isin(*SHOWS))
-    goes_on = F.col("op").isin(*RUNS) & F.col("_shown").isNotNull() & (F.col("_shown") > F.coalesce("_set", F.lit(-1)))
-    place = (F.row_number().over(by) - 1).alias("place")
-    return seen.select(*PAGE, place, F.coalesce("raw", F.encode(shown_text(F.col("operand")), "UTF-8"), F.lit(b"")).alias("raw"), F.coalesce(goes_on, F.lit(False)).alias("continues"))
-
-
-def align(entries: DataFrame, commands: DataFrame) -> DataFrame:
+def align(entries: DataFrame, commands: DataFrame | None = None) -> DataFrame:
     """The entries with the text of their commands where that is usable, and whether each goes on from the one before.
 
-    The i-th showing command belongs to the i-th entry of its page.  On a page
-    where the two differ in number nothing is changed and nothing goes on.
+    ``commands`` is (doc_id, page_no, cmd_idx, op, operand, raw): the bytes, if
+    there, stand for the operand.  The i-th showing command belongs to the i-th
+    entry of its page.  On a page where the two differ in number nothing is
+    changed and nothing goes on.  Without ``commands`` the entries are lists, a
+    row for each page, beside a list ``commands``; so are those that come back.
     """
-    place = (F.row_number().over(Window.partitionBy(*PAGE).orderBy("entry_idx")) - 1).alias("place")
-    left = entries.select("*", place, F.count("*").over(Window.partitionBy(*PAGE)).alias("_entries"))
-    right = shows(commands).withColumn("_shows", F.count("*").over(Window.partitionBy(*PAGE)))
-    both = left.join(right, [*PAGE, "place"], "left")
-    same = F.coalesce(F.col("_entries") == F.col("_shows"), F.lit(False))
-    text = F.when(same & usable(F.col("raw"), F.col("text")), F.col("raw").cast("string")).otherwise(F.col("text"))
-    out = both.withColumn("text", text).withColumn("continues", same & F.coalesce("continues", F.lit(False)))
-    return out.select(*[c for c in entries.columns if c != "continues"], "continues")
+    if commands is None:
+        return _align_pages(entries)
+    own = [c for c in entries.columns if c not in (*PAGE, "continues")]
+    listed = entries.groupBy(*PAGE).agg(F.collect_list(F.struct(*own)).alias("entries"))
+    given = commands.groupBy(*PAGE).agg(F.collect_list(F.struct("cmd_idx", "op", "operand", "raw")).alias("commands"))
+    done = _align_pages(listed.join(given, PAGE, "left")).select(*PAGE, F.inline("entries"))
+    return done.select(*[c for c in entries.columns if c != "continues"], "continues")
+
+
+def _align_pages(pages: DataFrame) -> DataFrame:
+    entry = pages.schema["entries"].dataType.elementType
+    named = [f for f in entry.fields if f.name != "continues"]
+    if "raw" not in pages.schema["commands"].dataType.elementType.names:
+        pages = pages.withColumn("commands", F.transform("commands", lambda c: F.struct(c["cmd_idx"], c["op"], c["operand"], F.lit(None).cast("binary").alias("raw"))))
+    kind = StructType(named + [StructField("continues", BooleanType())])
+    kept = [c for c in pages.columns if c not in ("entries", "commands")]
+    schema = StructType([pages.schema[c] for c in kept] + [StructField("entries", ArrayType(kind))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in bounded(batch, "commands"):
+                texts, continues = _aligned(part)
+                lists = part.column("entries")
+                lengths = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+                old = lists.flatten()
+                fields = [texts if f.name == "text" else old.field(f.name) for f in named]
+                made = pa.StructArray.from_arrays([*fields, continues], names=kind.names)
+                offsets = pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.ListArray.from_arrays(offsets, made)], names=schema.names)
+
+    return pages.select(*kept, "entries", "commands").mapInArrow(run, schema)
+
+
+def _aligned(part: pa.RecordBatch) -> tuple[pa.Array, pa.Array]:
+    """(texts, continues) of all entries of the pages, as they are given."""
+    counts = [pc.fill_null(part.column(n).value_lengths(), 0).to_numpy(zero_copy_only=False) for n in ("entries", "commands")]
+    page, of = (np.repeat(np.arange(part.num_rows), n) for n in counts)
+    entries, commands = part.column("entries").flatten(), part.column("commands").flatten()
+    number = commands.field("cmd_idx").to_numpy(zero_copy_only=False)
+    order = np.lexsort((number, of))
+    of, number = of[order], number[order]
+    op = commands.field("op").take(pa.array(order))
+    is_one = lambda names: pc.is_in(op, pa.array(names)).to_numpy(zero_copy_only=False)
+    shows = is_one(SHOWS)
+    flags = goes_on(of, number, shows, is_one(RUNS), is_one(PLACES))
+    same = np.bincount(of[shows], minlength=part.num_rows) == counts[0]
+    # of pages with as many shows as entries both are met in order
+    shown = np.flatnonzero(shows & same[of])
+    place = np.lexsort((entries.field("entry_idx").to_numpy(zero_copy_only=False), page))
+    place = place[same[page[place]]]
+    values = (plain(commands.field(n).take(pa.array(order[shown]))) for n in ("raw", "operand"))
+    old = entries.field("text")
+    texts = np.array(plain(old), object)
+    texts[place] = [chosen(raw, operand, text) for raw, operand, text in zip(*values, texts[place].tolist())]
+    continues = np.zeros(len(page), bool)
+    continues[place] = flags[shown]
+    return pa.array(texts, "string", from_pandas=False), pa.array(continues)
 
 
 def carried(kept: DataFrame, raw: DataFrame) -> DataFrame:

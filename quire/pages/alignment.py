@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import re
 
+import numpy as np
+
 # fixed values: operators that show text, and those that set a new position
 SHOWS = ("Tj", "TJ", "'", '"')
 RUNS = ("Tj", "TJ")
@@ -34,22 +36,49 @@ def shown_json(text: str | None) -> str:
         return text
 
 
-def usable(raw: bytes, decoded: str) -> bool:
+def usable(raw: bytes, decoded: str | None) -> bool:
     """Whether a command's own bytes say more than the text that its font decodes to."""
     try:
         text = raw.decode("utf-8")
     except UnicodeDecodeError:
         return False
-    if MOJIBAKE.search(text) and not MOJIBAKE.search(decoded):
+    return usable_text(text, decoded)
+
+
+def usable_text(text: str, decoded: str | None) -> bool:
+    if not text.isascii() and MOJIBAKE.search(text) and not MOJIBAKE.search(decoded or ""):
         return False
-    if _HEX.match(text):
-        if len(text) >= LONG_HEX and len(text) % 2 == 0 and not _HEX.match(decoded):
+    if len(text) >= HEX_GROUP and _HEX.match(text):
+        if len(text) >= LONG_HEX and len(text) % 2 == 0 and not _HEX.match(decoded or ""):
             return False
-        if len(text) >= HEX_GROUP and len(text) % HEX_GROUP == 0 and not decoded.isascii():
+        if len(text) % HEX_GROUP == 0 and not (decoded is not None and decoded.isascii()):
             return False
     return True
 
 
+def chosen(raw: bytes | None, operand: str | None, decoded: str | None) -> str | None:
+    """The text of an entry: its command's bytes, or else its operand, if usable."""
+    try:
+        text = shown_json(operand) if raw is None else raw.decode("utf-8")
+        if raw is None and not text.isascii():
+            text.encode()
+    except UnicodeError:
+        return decoded
+    return text if usable_text(text, decoded) else decoded
+
+
+def goes_on(page: np.ndarray, number: np.ndarray, shows: np.ndarray, runs: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """For each command, in order, whether it goes on from the last show of its page: it is a run and no position was set since."""
+
+    def before(flags: np.ndarray) -> np.ndarray:
+        at = np.maximum.accumulate(np.where(flags, np.arange(len(page)), -1))
+        at = np.append(-1, at[:-1])[: len(page)]
+        return np.where((at >= 0) & (page[at] == page), number[at], -1) if len(page) else at
+
+    shown = before(shows)
+    return runs & (shown >= 0) & (shown > before(places))
+
+
 def continuations(operators: list[str]) -> list[bool]:
     """For each showing command whether it goes on from the one before, without a new position between."""
     out, reset = [], True

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from quire.operators import pages
-from quire.pages import bulk, geometry, overlap
+from quire.pages import alignment, bulk, geometry, overlap
 from quire.pages.geometry import Entry
 from quire.plans import registry
 
@@ -76,6 +76,15 @@ def exchanges(df):
     return re.findall(r"Exchange (\w+\([^)]*\)?)", df._jdf.queryExecution().executedPlan().toString())
 
 
-@pytest.mark.parametrize("name", ["visual_rows", "overlap_pairs_top10"])
+@pytest.mark.parametrize("name", ["visual_rows", "overlap_pairs_top10", "aligned_text"])
 def test_only_documents_are_shuffled(spark, small, name):
     assert [re.sub(r"#\d+L?", "", e) for e in exchanges(registry.queries()[name](spark, small))] == ["hashpartitioning(doc_id, 4)"]
+
+
+def test_commands_without_bytes_or_text():
+    assert alignment.chosen(None, None, "x") == "" and alignment.chosen(None, '"\\ud800"', "x") == "x" and alignment.chosen(b"\xff", '"a"', "x") == "x"
+    assert alignment.chosen(b"Name", None, None) == "Name" and alignment.chosen(b"00270028", None, None) is None
+    page, number = np.array([0, 0, 0, 1, 1]), np.array([0, 1, 2, 0, 1])
+    ops = np.array(["Tj", "Tj", "'", "Tj", "TJ"])
+    of = lambda names: np.isin(ops, names)
+    assert alignment.goes_on(page, number, of(alignment.SHOWS), of(alignment.RUNS), of(alignment.PLACES)).tolist() == [False, True, False, False, True]
