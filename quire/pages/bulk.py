@@ -95,7 +95,7 @@ def printed(value: float) -> str:
 
 def half_up(value: float) -> float:
     """To two digits, halves of what the number is written as away from zero, as Spark's ``round``."""
-    return float(Decimal(repr(value)).quantize(_CENT, ROUND_HALF_UP)) if math.isfinite(value) else value
+    return float(Decimal(repr(value)).quantize(_CENT, ROUND_HALF_UP)) + 0.0 if math.isfinite(value) else value
 
 
 def _places(values: np.ndarray, rounded: Callable) -> np.ndarray:

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quire.operators import pages
+from quire.operators import pages, positions
 from quire.pages import alignment, bulk, geometry, overlap
 from quire.pages.geometry import Entry
 from quire.plans import registry
@@ -76,7 +76,19 @@ def exchanges(df):
     return re.findall(r"Exchange (\w+\([^)]*\)?)", df._jdf.queryExecution().executedPlan().toString())
 
 
-@pytest.mark.parametrize("name", ["visual_rows", "overlap_pairs_top10", "aligned_text"])
+def test_atoms_of_lists_are_those_of_rows(spark):
+    rows = [(n // 7, n % 7, e.index, e.a, e.b, e.c, e.d, e.x + rng.choice([0.0, 0.125, 1.005, 2.675]), e.y, e.text, e.size) for rng in [random.Random(7)] for n, p in enumerate(pages_of(7)[0]) for e in {e.index: e for e in p}.values()]
+    entries = spark.createDataFrame(rows, "doc_id long, page_no int, entry_idx int, a double, b double, c double, d double, x double, y double, text string, font_size double")
+    names = ("entry_idx", "text", "x", "y", "size", "h_scale", "v_scale", "centre")
+    found = [sorted(tuple(r) for r in df.select("doc_id", "page_no", *names).collect()) for df in (positions.atoms(entries), pages.atoms(pages.together(entries), names))]
+    assert found[0] == found[1] and len(rows) > len(found[0]) > 100
+
+
+def test_copies_do_not_meet_in_a_shuffle(spark, small):
+    assert [re.sub(r"#\d+L?", "", e) for e in exchanges(registry.queries()["dedup_rounded"](spark, small))] == ["hashpartitioning(doc_id, page_no, 4)", "hashpartitioning(doc_id, 4)"]
+
+
+@pytest.mark.parametrize("name", ["visual_rows", "overlap_pairs_top10", "aligned_text", "page_documents"])
 def test_only_documents_are_shuffled(spark, small, name):
     assert [re.sub(r"#\d+L?", "", e) for e in exchanges(registry.queries()[name](spark, small))] == ["hashpartitioning(doc_id, 4)"]
 
