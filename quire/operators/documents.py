@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # fixed values: what a field's name tells about it, in this order
@@ -65,9 +65,9 @@ def contact_metadata(fields: Column, categories: Column) -> Column:
 
 def page_documents(pages: DataFrame, doc: str = "doc_id", page: str = "page_no", text: str = "text", url: str = "url") -> DataFrame:
     """One document per page with id ``<doc>#page-N``, page count and a link to the page (an old fragment goes)."""
-    counts = pages.groupBy(F.col(doc).alias("_doc")).agg(F.count("*").alias("page_count"))
+    count = F.count("*").over(Window.partitionBy(doc))
     number = F.col(page).cast("string")
-    return pages.join(counts, F.col(doc) == F.col("_doc")).select(doc, page, F.concat(F.col(doc).cast("string"), F.lit("#page-"), number).alias("source_id"), "page_count", F.concat(F.substring_index(url, "#", 1), F.lit("#page="), number).alias("url"), text)
+    return pages.select(doc, page, F.concat(F.col(doc).cast("string"), F.lit("#page-"), number).alias("source_id"), count.alias("page_count"), F.concat(F.substring_index(url, "#", 1), F.lit("#page="), number).alias("url"), text)
 
 
 def whole_documents(pages: DataFrame, doc: str = "doc_id", page: str = "page_no", text: str = "text") -> DataFrame:
