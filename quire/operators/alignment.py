@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StructField, StructType
 
-from quire.operators.pages import bounded, plain
-from quire.pages.alignment import PLACES, RUNS, SHOWS, chosen, goes_on
+from quire.operators.pages import plain, with_fields
+from quire.pages.bulk import numbers
+from quire.pages.alignment import PLACES, RUNS, SHOWS, advanced, carried, chosen, goes_on
 
 PAGE = ["doc_id", "page_no"]
-#: as far as a run may lie from where the one before started, to go on from it
-NEAR = 0.5
 
 
 def align(entries: DataFrame, commands: DataFrame | None = None) -> DataFrame:
@@ -38,27 +34,9 @@ def align(entries: DataFrame, commands: DataFrame | None = None) -> DataFrame:
 
 
 def _align_pages(pages: DataFrame) -> DataFrame:
-    entry = pages.schema["entries"].dataType.elementType
-    named = [f for f in entry.fields if f.name != "continues"]
     if "raw" not in pages.schema["commands"].dataType.elementType.names:
         pages = pages.withColumn("commands", F.transform("commands", lambda c: F.struct(c["cmd_idx"], c["op"], c["operand"], F.lit(None).cast("binary").alias("raw"))))
-    kind = StructType(named + [StructField("continues", BooleanType())])
-    kept = [c for c in pages.columns if c not in ("entries", "commands")]
-    schema = StructType([pages.schema[c] for c in kept] + [StructField("entries", ArrayType(kind))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in bounded(batch, "commands"):
-                texts, continues = _aligned(part)
-                lists = part.column("entries")
-                lengths = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
-                old = lists.flatten()
-                fields = [texts if f.name == "text" else old.field(f.name) for f in named]
-                made = pa.StructArray.from_arrays([*fields, continues], names=kind.names)
-                offsets = pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.ListArray.from_arrays(offsets, made)], names=schema.names)
-
-    return pages.select(*kept, "entries", "commands").mapInArrow(run, schema)
+    return with_fields(pages, {"text": "string", "continues": "boolean"}, lambda part: dict(zip(("text", "continues"), _aligned(part))), ("commands",))
 
 
 def _aligned(part: pa.RecordBatch) -> tuple[pa.Array, pa.Array]:
@@ -87,32 +65,27 @@ def _aligned(part: pa.RecordBatch) -> tuple[pa.Array, pa.Array]:
     return pa.array(texts, "string", from_pandas=False), pa.array(continues)
 
 
-def carried(kept: DataFrame, raw: DataFrame) -> DataFrame:
-    """kept with ``continues`` from the raw entries: only where the neighbour in ``kept`` is the neighbour in ``raw`` as well.
-
-    Entries that were left out between the two break a run.  Both have
-    entry_idx of the source, so they are merged in its order.
-    """
-    before = F.lag("entry_idx").over(Window.partitionBy(*PAGE).orderBy("entry_idx"))
-    neighbours = raw.select(*PAGE, "entry_idx", F.col("continues").alias("_goes_on"), before.alias("_raw_before"))
-    own = kept.drop("continues").withColumn("_before", before)
-    joined = own.join(neighbours, [*PAGE, "entry_idx"], "left")
-    goes_on = F.coalesce(F.col("_goes_on") & (F.col("_before") == F.col("_raw_before")), F.lit(False))
-    return joined.withColumn("continues", goes_on).drop("_goes_on", "_raw_before", "_before")
-
-
-def advanced(entries: DataFrame, advance: str = "advance") -> DataFrame:
-    """The entries with x moved to where the run before ended, along chains of runs that go on from each other.
+def run_places(pages: DataFrame) -> DataFrame:
+    """The entries of each page with ``continues`` carried over from the list ``raw`` and x moved to where the run before ended.
 
-    A chain goes on while entries follow each other in the source, are flagged
-    and are recorded at nearly the same place as the one before; the moves of a
-    chain are running sums.
+    An entry goes on only where its neighbour in the page is its neighbour in
+    ``raw`` as well: entries that were left out between the two break a run.
+    Both have entry_idx of the source and are met in its order.  A chain goes
+    on while entries follow each other in the source, are flagged and are
+    recorded at nearly the same place as the one before; the moves of a chain
+    are running sums of ``advance``.
     """
-    by = Window.partitionBy(*PAGE).orderBy("entry_idx")
-    lag = lambda c: F.lag(c).over(by)
-    linked = F.col("continues") & (F.col("entry_idx") == lag("entry_idx") + 1) & (F.abs(F.col("y") - lag("y")) <= NEAR) & (F.abs(F.col("x") - lag("x")) <= NEAR)
-    chained = entries.withColumn("_chain", F.sum(F.when(F.coalesce(linked, F.lit(False)), 0).otherwise(1)).over(by))
-    run = Window.partitionBy(*PAGE, "_chain").orderBy("entry_idx")
-    start = F.first("x").over(run)
-    moved = F.coalesce(F.sum(advance).over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return chained.withColumn("_x", start + moved).withColumn("x", F.col("_x")).drop("_x", "_chain")
+    return with_fields(pages, {"continues": "boolean", "x": "double"}, _placed, ("raw",))
+
+
+def _placed(part: pa.RecordBatch) -> dict[str, pa.Array]:
+    page, of = (np.repeat(np.arange(part.num_rows), pc.fill_null(part.column(n).value_lengths(), 0).to_numpy(zero_copy_only=False)) for n in ("entries", "raw"))
+    entries, raw = part.column("entries").flatten(), part.column("raw").flatten()
+    order = np.lexsort((entries.field("entry_idx").to_numpy(zero_copy_only=False), page))
+    index = numbers(entries.field("entry_idx"), np.int64)[order]
+    x, y, advance = (numbers(v)[order] for v in (entries.field("x"), entries.field("y"), pc.fill_null(entries.field("advance"), 0.0)))
+    there = np.lexsort((raw.field("entry_idx").to_numpy(zero_copy_only=False), of))
+    flags = pc.fill_null(raw.field("continues"), False).to_numpy(zero_copy_only=False)[there]
+    goes = carried((page[order], index), (of[there], raw.field("entry_idx").to_numpy(zero_copy_only=False)[there]), flags)
+    back = np.argsort(order)
+    return {"continues": pa.array(goes[back]), "x": pa.array(advanced(page[order], index, goes, x, y, advance)[back])}

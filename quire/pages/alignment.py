@@ -7,6 +7,8 @@ import re
 
 import numpy as np
 
+from quire.pages.bulk import steps
+
 # fixed values: operators that show text, and those that set a new position
 SHOWS = ("Tj", "TJ", "'", '"')
 RUNS = ("Tj", "TJ")
@@ -14,6 +16,8 @@ PLACES = ("BT", "ET", "Td", "TD", "Tm", "T*", "'", '"')
 #: UTF-8 read as Latin-1
 MOJIBAKE = re.compile("(?:Ã.|Â.|â[\u0080-¿])")
 LONG_HEX, HEX_GROUP = 16, 4
+#: as far as a run may lie from where the one before started, to go on from it
+NEAR = 0.5
 _HEX = re.compile(r"[0-9A-Fa-f]+\Z")
 
 
@@ -79,6 +83,33 @@ def goes_on(page: np.ndarray, number: np.ndarray, shows: np.ndarray, runs: np.nd
     return runs & (shown >= 0) & (shown > before(places))
 
 
+def carried(kept: tuple[np.ndarray, np.ndarray], raw: tuple[np.ndarray, np.ndarray], flags: np.ndarray) -> np.ndarray:
+    """For each kept entry (page, entry_idx), in order, the flag of the same raw entry where both have the same entry before them."""
+    if not len(raw[0]) or not len(kept[0]):
+        return np.zeros(len(kept[0]), bool)
+    keys = [(page.astype(np.int64) << 33) + index + (1 << 31) for page, index in (kept, raw)]
+    first = [np.append(True, page[1:] != page[:-1]) for page, _ in (kept, raw)]
+    before = [np.append(-1, key[:-1]) for key in keys]
+    at = np.minimum(np.searchsorted(keys[1], keys[0]), len(keys[1]) - 1)
+    return (keys[1][at] == keys[0]) & flags[at] & ~first[0] & ~first[1][at] & (before[0] == before[1][at])
+
+
+def advanced(page: np.ndarray, index: np.ndarray, goes: np.ndarray, x: np.ndarray, y: np.ndarray, advance: np.ndarray) -> np.ndarray:
+    """Where each entry, in order, starts: its chain's first place and the advances since, summed up from there."""
+    linked = np.zeros(len(page), bool)
+    near = lambda v: np.abs(v[1:] - v[:-1]) <= NEAR
+    linked[1:] = goes[1:] & (page[1:] == page[:-1]) & (index[1:] == index[:-1] + 1) & near(y) & near(x)
+    chain = np.cumsum(~linked)
+    out, moved = x.astype(np.float64), None
+    for m, at in steps(chain):
+        if moved is None:
+            start, moved = x[at], np.zeros(m)
+            continue
+        moved = moved[:m] + advance[at - 1]
+        out[at] = start[:m] + moved
+    return out
+
+
 def continuations(operators: list[str]) -> list[bool]:
     """For each showing command whether it goes on from the one before, without a new position between."""
     out, reset = [], True

@@ -117,7 +117,7 @@ def firsts(found: Runs, rounded: Callable = printed) -> Runs:
     return found.take(np.delete(np.arange(len(found.page)), gone)) if len(gone) else found
 
 
-def _steps(group: np.ndarray):
+def steps(group: np.ndarray):
     """(how many, places): for 0, 1, ... the places of the members of that number of each group that has one, longest groups first."""
     starts = np.flatnonzero(np.diff(group, prepend=group[0] - 1)) if len(group) else np.zeros(0, np.int64)
     lengths = np.diff(starts, append=len(group))
@@ -132,7 +132,7 @@ def row_starts(found: Runs) -> np.ndarray:
     """Which entries, in reading order, start an optical row; as ``geometry.rows_of``."""
     out = np.ones(len(found.page), bool)
     mean = top = n = None
-    for m, at in _steps(found.page):
+    for m, at in steps(found.page):
         c, v = found.centre[at], found.v_scale[at]
         if mean is None:
             mean, top, n = c, v, np.ones(m)
@@ -149,7 +149,7 @@ def part_starts(row: np.ndarray, x: np.ndarray, end: np.ndarray, size: np.ndarra
     """Which entries, from left to right in each row, start a part; as ``geometry.parts_of``."""
     out = np.ones(len(row), bool)
     last = most = None
-    for m, at in _steps(row):
+    for m, at in steps(row):
         if last is None:
             last, most = end[at], size[at]
             continue

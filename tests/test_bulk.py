@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from quire.operators import alignment as operators
 from quire.operators import pages, positions
 from quire.pages import alignment, bulk, geometry, overlap
 from quire.pages.geometry import Entry
@@ -88,7 +89,7 @@ def test_copies_do_not_meet_in_a_shuffle(spark, small):
     assert [re.sub(r"#\d+L?", "", e) for e in exchanges(registry.queries()["dedup_rounded"](spark, small))] == ["hashpartitioning(doc_id, page_no, 4)", "hashpartitioning(doc_id, 4)"]
 
 
-@pytest.mark.parametrize("name", ["visual_rows", "overlap_pairs_top10", "aligned_text", "page_documents"])
+@pytest.mark.parametrize("name", ["visual_rows", "overlap_pairs_top10", "aligned_text", "page_documents", "run_positions"])
 def test_only_documents_are_shuffled(spark, small, name):
     assert [re.sub(r"#\d+L?", "", e) for e in exchanges(registry.queries()[name](spark, small))] == ["hashpartitioning(doc_id, 4)"]
 
@@ -100,3 +101,22 @@ def test_commands_without_bytes_or_text():
     ops = np.array(["Tj", "Tj", "'", "Tj", "TJ"])
     of = lambda names: np.isin(ops, names)
     assert alignment.goes_on(page, number, of(alignment.SHOWS), of(alignment.RUNS), of(alignment.PLACES)).tolist() == [False, True, False, False, True]
+
+
+def test_places_of_runs_by_a_plain_loop(spark):
+    rng, rows, wanted = random.Random(3), [], {}
+    for doc in range(30):
+        raw = [(i, rng.choice([True, True, False, None])) for i in sorted(rng.sample(range(40), rng.choice([0, 1, 12, 30])))]
+        kept = [(i, rng.choice([20.0, 20.5, 20.6]), rng.choice([500.0, 500.5, 501.1]), rng.choice([5.8, 0.1, None])) for i, _ in raw if rng.random() < 0.9] + [(99, 1.0, 1.0, 1.0)]
+        flags, before = dict(raw), {i: raw[n - 1][0] if n else None for n, (i, _) in enumerate(raw)}
+        last = start = moved = None
+        for i, x, y, advance in kept:
+            goes = bool(flags.get(i)) and last is not None and before[i] == last[0]
+            linked = goes and i == last[0] + 1 and abs(x - last[1]) <= 0.5 and abs(y - last[2]) <= 0.5
+            start, moved = (start, moved + (last[3] or 0.0)) if linked else (x, 0.0)
+            wanted[doc, i], last = (goes, start + moved), (i, x, y, advance)
+        rng.shuffle(kept)
+        rows.append((doc, 1, kept, raw))
+    pages_ = spark.createDataFrame(rows, "doc_id long, page_no int, entries array<struct<entry_idx:int,x:double,y:double,advance:double>>, raw array<struct<entry_idx:int,continues:boolean>>")
+    got = {(r["doc_id"], e["entry_idx"]): (e["continues"], e["x"]) for r in operators.run_places(pages_).collect() for e in r["entries"]}
+    assert got == wanted and sum(g for g, _ in got.values()) > 20
