@@ -8,10 +8,10 @@ import pyarrow as pa
 import pytest
 
 from quire.operators import alignment as operators
-from quire.operators import pages, positions
+from quire.operators import margins, pages, positions
 from quire.pages import alignment, bulk, geometry, overlap
 from quire.pages.geometry import Entry
-from quire.plans import registry
+from quire.plans import layout_queries, registry
 
 
 def drawn(rng, n):
@@ -120,3 +120,28 @@ def test_places_of_runs_by_a_plain_loop(spark):
     pages_ = spark.createDataFrame(rows, "doc_id long, page_no int, entries array<struct<entry_idx:int,x:double,y:double,advance:double>>, raw array<struct<entry_idx:int,continues:boolean>>")
     got = {(r["doc_id"], e["entry_idx"]): (e["continues"], e["x"]) for r in operators.run_places(pages_).collect() for e in r["entries"]}
     assert got == wanted and sum(g for g, _ in got.values()) > 20
+
+
+def test_margins_of_lists_are_those_of_rows(spark, small):
+    from pyspark.sql import functions as F
+
+    words, boxes = layout_queries.with_words(spark, small)
+    lists = layout_queries.with_footers(words.where("doc_id < 40"))
+    rows = lists.select("doc_id", "page_no", "a", "c", "d", F.inline("entries"))
+    boxes = boxes.where("doc_id < 40 AND NOT (doc_id = 3 AND page_no = 1)").withColumn("box", F.when(F.col("doc_id") % 7 == 5, F.array(F.lit(1.0))).otherwise(F.col("box")))
+    lists = lists.drop("box").join(boxes, ["doc_id", "page_no"], "left")
+    of = lambda df: sorted(map(tuple, df.collect()))
+    outs = [margins.find(e, boxes, margins.READ) for e in (rows, lists)]
+    assert of(outs[0]) == of(outs[1]) and len(of(outs[0])) > 100
+    left = [margins.without(e, o) for e, o in zip((rows, lists), outs)]
+    assert of(left[0].select("doc_id", "page_no", "entry_idx")) == of(left[1].select("doc_id", "page_no", F.explode("entries.entry_idx")))
+    assert of(margins.artifacts(rows, outs[0].drop(*margins.READ))) == of(margins.artifacts(None, outs[1]))
+
+
+@pytest.mark.parametrize("name", ["repeated_margin_text", "margin_artifacts", "margins_removed"])
+def test_margins_are_found_without_a_shuffle_of_entries(spark, small, name, monkeypatch):
+    monkeypatch.setattr(margins, "landed", lambda df: df)
+    plan = registry.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [re.sub(r"#\d+L?", "", j) for j in re.findall(r"Join \w+, \(?(.*)", plan)]
+    # of the entries' fields none is a key of a join but of the few in the bands with those that recur
+    assert all("entry_idx" not in j or "zone" in j for j in joins), joins
