@@ -42,30 +42,41 @@ def strategy(layout: Column, excluded: Column, optical: Column, native: Column,
     return name, F.when(name == "native", native).otherwise(positioned)
 
 
-def page_texts(entries: DataFrame) -> DataFrame:
-    """doc_id, page_no, layout, columns, table_rows, confidence, positioned, optical of each page."""
+def page_texts(entries: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, page_no, layout, columns, table_rows, confidence, positioned, optical of each page, and its columns ``keep``; all but these are null for one without entries."""
 
     def look(page: list[Entry]) -> list[tuple]:
+        if not page:
+            return [(None,) * 6]
         rows = geometry.read(page)
         found = regions.analyse(rows)
         return [(found.layout, found.column_count, found.table_rows, found.confidence, found.text, _optical(rows))]
 
-    return per_page(together(entries), [("layout", "string"), ("columns", "int"), ("table_rows", "int"), ("confidence", "double"), ("positioned", "string"), ("optical", "boolean")], look)
+    return per_page(together(entries), [("layout", "string"), ("columns", "int"), ("table_rows", "int"), ("confidence", "double"), ("positioned", "string"), ("optical", "boolean")], look, keep=keep)
 
 
-def extract(entries: DataFrame, boxes: DataFrame, commands: DataFrame | None = None, native: DataFrame | None = None) -> DataFrame:
+def extract(entries: DataFrame, boxes: DataFrame | None = None, commands: DataFrame | None = None, native: DataFrame | None = None) -> DataFrame:
     """doc_id, page_no, strategy, layout, columns, table_rows, confidence, n_excluded, text of every page of ``boxes``.
 
     ``boxes`` is (doc_id, page_no, box), ``native`` (doc_id, page_no, native):
     the text as a parser gives it.  Margins are looked for across the pages of
-    a document; everything else stays within a page.
+    a document; everything else stays within a page.  Without ``boxes`` the
+    entries are lists, a row for each page, beside its box and, where there,
+    its native text and list of commands; nothing but what the margins need
+    leaves the row then.
     """
-    aligned = landed(alignment.align(entries, commands)) if commands is not None else entries
-    out = margins.find(aligned, boxes)
-    kept = margins.without(aligned, out)
-    excluded = out.groupBy(*PAGE).agg(F.count("*").alias("n_excluded"))
-    pages = boxes.select(*PAGE).join(page_texts(kept), PAGE, "left").join(excluded, PAGE, "left")
-    pages = pages.join(native, PAGE, "left") if native is not None else pages.withColumn("native", F.lit(None).cast("string"))
+    if boxes is not None:
+        given = boxes.select(*PAGE, "box").join(together(entries), PAGE, "left")
+        if native is not None:
+            given = given.join(native.select(*PAGE, "native"), PAGE, "left")
+        if commands is not None:
+            given = given.join(commands.groupBy(*PAGE).agg(F.collect_list(F.struct("cmd_idx", "op", "operand", "raw")).alias("commands")), PAGE, "left")
+        return extract(landed(given))
+    aligned = landed(alignment.align(entries)) if "commands" in entries.columns else entries
+    pages = margins.without(aligned, margins.find(aligned, aligned.select(*PAGE, "box")))
+    if "native" not in pages.columns:
+        pages = pages.withColumn("native", F.lit(None).cast("string"))
+    pages = page_texts(pages, ("n_excluded", "native"))
     n_excluded = F.coalesce("n_excluded", F.lit(0).cast("long"))
     layout = F.coalesce("layout", F.lit("empty"))
     name, text = strategy(layout, n_excluded > 0, F.coalesce("optical", F.lit(False)), F.col("native"), F.col("positioned"))

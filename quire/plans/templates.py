@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.positions import spread
+
 
 @dataclass(frozen=True)
 class Slot:
@@ -90,13 +92,20 @@ TEMPLATES = (
 )
 
 
-def entries(docs: DataFrame) -> DataFrame:
-    """Positioned text of one page for every document: its template is its number's remainder."""
+def pages(docs: DataFrame) -> DataFrame:
+    """doc_id, page_no, entries and what they share: one page for every document, of the template of its number's remainder, as a list."""
     slots = F.array(*[F.array(*[F.struct(F.lit(float(s.x)).alias("x"), F.lit(float(s.y)).alias("y"), F.lit(s.length).alias("n"), F.lit(s.size).alias("size")) for s in t.slots]) for t in TEMPLATES])
-    placed = docs.select("doc_id", F.posexplode(F.element_at(slots, (F.col("doc_id") % len(TEMPLATES) + 1).cast("int"))).alias("entry_idx", "s"))
-    text = F.substring(F.repeat(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("entry_idx").cast("string"))), 4), F.lit(1), F.col("s.n"))
+    own = F.col("doc_id").cast("string")
+    text = lambda s, i: F.substring(F.repeat(F.md5(F.concat(own, F.lit(":"), i.cast("string"))), 4), F.lit(1), s["n"])
+    placed = F.transform("slots", lambda s, i: F.struct(i.alias("entry_idx"), s["x"].alias("x"), s["y"].alias("y"), text(s, i).alias("text"), s["size"].alias("font_size")))
     one, zero = F.lit(1.0), F.lit(0.0)
-    return placed.select("doc_id", F.lit(1).alias("page_no"), "entry_idx", one.alias("a"), zero.alias("b"), zero.alias("c"), one.alias("d"), F.col("s.x").alias("x"), F.col("s.y").alias("y"), text.alias("text"), F.col("s.size").alias("font_size"))
+    docs = spread(docs.select("doc_id")).withColumn("slots", F.element_at(slots, (F.col("doc_id") % len(TEMPLATES) + 1).cast("int")))
+    return docs.select("doc_id", F.lit(1).alias("page_no"), placed.alias("entries"), one.alias("a"), zero.alias("b"), zero.alias("c"), one.alias("d"))
+
+
+def entries(docs: DataFrame) -> DataFrame:
+    """The entries of ``pages`` as rows."""
+    return pages(docs).select("doc_id", "page_no", "a", "b", "c", "d", F.inline("entries")).select("doc_id", "page_no", "entry_idx", "a", "b", "c", "d", "x", "y", "text", "font_size")
 
 
 def boxes(docs: DataFrame) -> DataFrame:

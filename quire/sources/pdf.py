@@ -69,5 +69,10 @@ def commands(read: DataFrame) -> DataFrame:
     return read.where("error IS NULL").select("doc_id", "page_no", F.inline("commands")).withColumn("raw", F.lit(None).cast("binary"))
 
 
+def page_lists(read: DataFrame) -> DataFrame:
+    """The pages with lists of entries and commands beside their boxes, as they were read."""
+    return read.where("error IS NULL").select("doc_id", "page_no", "box", "entries", "commands")
+
+
 def boxes(read: DataFrame) -> DataFrame:
     return read.where("error IS NULL").select("doc_id", "page_no", "box", "rotate", "content")

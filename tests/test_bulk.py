@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from quire.operators import alignment as operators
-from quire.operators import margins, pages, positions
+from quire.operators import extraction, margins, pages, positions
 from quire.pages import alignment, bulk, geometry, overlap
 from quire.pages.geometry import Entry
 from quire.plans import layout_queries, registry
@@ -145,3 +145,32 @@ def test_margins_are_found_without_a_shuffle_of_entries(spark, small, name, monk
     joins = [re.sub(r"#\d+L?", "", j) for j in re.findall(r"Join \w+, \(?(.*)", plan)]
     # of the entries' fields none is a key of a join but of the few in the bands with those that recur
     assert all("entry_idx" not in j or "zone" in j for j in joins), joins
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rows_are_split_as_their_atoms_are(seed):
+    rng = random.Random(seed)
+    for p in pages_of(seed)[0]:
+        rows = geometry.read(p)
+        for at in (rng.uniform(0, 500), *(a.x for r in rows[:3] for a in r.atoms)):
+            wanted = [[r for r in (geometry.split_row(row, inside) for row in rows) if r.parts] for inside in (lambda a: a.x < at, lambda a: a.x >= at)]
+            assert list(geometry.split_rows(rows, at)) == wanted
+
+
+def test_extraction_of_lists_is_that_of_rows(spark, small):
+    from pyspark.sql import functions as F
+
+    made = layout_queries._three(spark, small).where("doc_id < 60")
+    bare = (F.col("doc_id") == 8) & (F.col("page_no") == 2)
+    made = made.withColumn("entries", F.when(bare, F.slice("entries", 1, 0)).otherwise(F.col("entries")))
+    rows = made.select("doc_id", "page_no", "a", "b", "c", "d", F.inline("entries"))
+    of = lambda df: sorted(map(tuple, df.collect()))
+    lists = of(extraction.extract(made))
+    assert lists == of(extraction.extract(rows, made.select("doc_id", "page_no", "box"), native=made.select("doc_id", "page_no", "native")))
+    assert [r[3] for r in lists if r[:2] == (8, 2)] == ["empty"] and len(lists) == 180
+
+
+@pytest.mark.parametrize("name", ["document_extraction", "whole_documents"])
+def test_pages_of_templates_move_once(spark, small, name):
+    text = registry.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Join LeftOuter") == 1 and "native#" in text
