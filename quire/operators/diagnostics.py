@@ -95,5 +95,6 @@ def vector_artwork(entries: DataFrame, boxes: DataFrame) -> DataFrame:
 def page_records(pages: DataFrame, overlaps: DataFrame) -> DataFrame:
     """doc_id, page_no, strategy, layout, columns, confidence (percent), n_chars, n_warnings, n_excluded, is_empty of extracted pages."""
     warnings = overlaps.groupBy(*PAGE).agg(F.count("*").alias("n_warnings"))
-    joined = pages.join(warnings, PAGE, "left")
-    return joined.select(*PAGE, "strategy", "layout", "columns", F.round(100 * F.col("confidence"), 1).alias("confidence"), F.length("text").alias("n_chars"), F.coalesce("n_warnings", F.lit(0).cast("long")).alias("n_warnings"), "n_excluded", (F.trim("text") == "").alias("is_empty"))
+    # texts are measured before the join, so that they do not move
+    own = pages.select(*PAGE, "strategy", "layout", "columns", F.round(100 * F.col("confidence"), 1).alias("confidence"), F.length("text").alias("n_chars"), "n_excluded", (F.trim("text") == "").alias("is_empty"))
+    return own.join(warnings, PAGE, "left").select(*PAGE, "strategy", "layout", "columns", "confidence", "n_chars", F.coalesce("n_warnings", F.lit(0).cast("long")).alias("n_warnings"), "n_excluded", "is_empty")

@@ -174,3 +174,14 @@ def test_extraction_of_lists_is_that_of_rows(spark, small):
 def test_pages_of_templates_move_once(spark, small, name):
     text = registry.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("Join LeftOuter") == 1 and "native#" in text
+
+
+def test_texts_are_measured_before_they_are_joined(spark):
+    from quire.operators import diagnostics
+
+    found = spark.createDataFrame([(1, 1, "s", "plain", 1, 0.9, "text", 0)], "doc_id long, page_no int, strategy string, layout string, columns int, confidence double, text string, n_excluded long")
+    records = diagnostics.page_records(found, spark.createDataFrame([(1, 1, 2)], "doc_id long, page_no int, first int"))
+    plan = records._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(i for i, line in enumerate(plan) if "Join LeftOuter" in line)
+    assert "AS n_chars" in plan[join + 1] and not any("n_chars" in line and "length" in line for line in plan[:join])
+    assert records.first()["n_chars"] == 4 and records.first()["n_warnings"] == 1
