@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class Parsed:
+    """A variant column, for functions that would parse JSON text anew for each value that they read."""
+
+    variant: Column
+
+
+def tree(json: Column | Parsed) -> Column:
+    """The text as a variant, null if it is no JSON."""
+    return json.variant if isinstance(json, Parsed) else F.try_parse_json(json)
+
+
 def _getter(name: str):
     return lambda node: F.try_variant_get(node, f"$['{name}']", "variant")
 
 
-def values(json: Column, path: str) -> Column:
+def values(json: Column | Parsed, path: str) -> Column:
     """array<string>: the scalars at a path, trimmed and none empty; booleans as 1 and nothing."""
-    nodes = F.array(F.try_parse_json(json))
+    nodes = F.array(tree(json))
     for part in path.split("."):
         name, every = part.removesuffix("[]"), part.endswith("[]")
         if name:

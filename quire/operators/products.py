@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import json_path
 from quire.functions.cursor import seconds
+from quire.functions.json_path import Parsed, tree
 from quire.functions.text import strip_tags
 from quire.operators import documents
 
@@ -14,12 +15,12 @@ from quire.operators import documents
 PREVIEW = (1, 25)
 
 
-def node(json: Column, *path: str) -> Column:
+def node(json: Column | Parsed, *path: str) -> Column:
     """The variant at a path of names; null if a name on the way is missing."""
-    return F.try_variant_get(F.try_parse_json(json), "$" + "".join(f"['{p}']" for p in path), "variant")
+    return F.try_variant_get(tree(json), "$" + "".join(f"['{p}']" for p in path), "variant")
 
 
-def translated(json: Column, field: str, *path: str) -> Column:
+def translated(json: Column | Parsed, field: str, *path: str) -> Column:
     """translated.field, else field, of the object at a path, trimmed; '' if it is missing."""
     of = lambda *more: json_path.scalar(node(json, *path, *more))
     there = lambda *more: F.schema_of_variant(node(json, *path, *more))
@@ -27,29 +28,29 @@ def translated(json: Column, field: str, *path: str) -> Column:
     return F.coalesce(F.when(given, of("translated", field)).otherwise(of(field)), F.lit(""))
 
 
-def changed_at(json: Column) -> Column:
+def changed_at(json: Column | Parsed) -> Column:
     """Epoch seconds of the last change, else of the creation; 0 if neither is a time."""
     text = lambda name: F.nullif(json_path.scalar(node(json, name)), F.lit(""))
     return seconds(text("updatedAt"), text("createdAt"))
 
 
-def is_active(json: Column) -> Column:
+def is_active(json: Column | Parsed) -> Column:
     """Whether the product is shown; one that does not say so is."""
     own = node(json, "active")
     return own.isNull() | (F.schema_of_variant(own) == "VOID") | json_path.truthy(json_path.scalar(own))
 
 
-def categories(json: Column) -> Column:
+def categories(json: Column | Parsed) -> Column:
     """Names of the categories, translated ones first; none empty, each once."""
-    every = F.coalesce(F.try_variant_get(F.try_parse_json(json), "$.categories", "array<variant>"), F.array().cast("array<variant>"))
+    every = F.coalesce(F.try_variant_get(tree(json), "$.categories", "array<variant>"), F.array().cast("array<variant>"))
     get = lambda v, path: F.nullif(json_path.scalar(F.try_variant_get(v, path, "variant")), F.lit(""))
     names = F.transform(every, lambda v: F.coalesce(get(v, "$.translated.name"), get(v, "$.name"), F.lit("")))
     return F.array_distinct(F.filter(names, lambda n: n != ""))
 
 
-def custom_fields(json: Column, allowed: list[str]) -> Column:
+def custom_fields(json: Column | Parsed, allowed: list[str]) -> Column:
     """array<struct<key,value>> of the scalar custom fields, by key; an empty list allows all."""
-    given = F.coalesce(F.try_variant_get(F.try_parse_json(json), "$.customFields", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    given = F.coalesce(F.try_variant_get(tree(json), "$.customFields", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
     kind = lambda v: F.schema_of_variant(v)
     scalars = F.map_filter(given, lambda k, v: v.isNotNull() & ~(kind(v).startswith("OBJECT") | kind(v).startswith("ARRAY") | (kind(v) == "VOID")))
     if allowed:
@@ -61,19 +62,19 @@ def _lines(heading: str, lines: Column) -> Column:
     return F.when(F.size(lines) > 0, F.concat(F.lit(heading + ":\n"), F.array_join(lines, "\n")))
 
 
-def field_block(json: Column, allowed: list[str]) -> Column:
+def field_block(json: Column | Parsed, allowed: list[str]) -> Column:
     """``key: value`` lines of the custom fields below their heading; null without fields."""
     return _lines("Custom fields", F.transform(custom_fields(json, allowed), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
 
 
-def path_block(json: Column, paths: list[str]) -> Column:
+def path_block(json: Column | Parsed, paths: list[str]) -> Column:
     """``path: value, value`` lines of the indexed paths that hold values, below their heading; null without lines."""
     values = [(p, F.array_distinct(json_path.values(json, p))) for p in paths]
     lines = [F.when(F.size(v) > 0, F.concat(F.lit(p + ": "), F.array_join(v, ", "))) for p, v in values]
     return _lines("Additional fields", F.filter(F.array(*lines).cast("array<string>"), lambda s: s.isNotNull())) if lines else F.lit(None).cast("string")
 
 
-def content(json: Column, allowed: list[str], paths: list[str]) -> Column:
+def content(json: Column | Parsed, allowed: list[str], paths: list[str]) -> Column:
     """The product's text: title, description without tags, number, manufacturer, custom and indexed fields."""
     number = json_path.scalar(node(json, "productNumber"))
     described = strip_tags(translated(json, "description"))
@@ -86,7 +87,8 @@ def build(products: DataFrame, base: str, path: str, allowed: list[str], paths:
     ``metadata`` is a map; what is set later counts: fixed keys, then what the
     custom fields tell about a contact, then the given extras.
     """
-    json = F.col("product")
+    json = Parsed(F.col("_tree"))
+    products = products.select(F.try_parse_json("product").alias("_tree"))
     key = json_path.scalar(node(json, "id"))
     fields = custom_fields(json, allowed)
     read = products.select(key.alias("source_id"), changed_at(json).alias("changed_at"), is_active(json).alias("active"), content(json, allowed, paths).alias("text"), translated(json, "name").alias("title"), json_path.scalar(node(json, "productNumber")).alias("number"), categories(json).alias("categories"), fields.alias("fields"))

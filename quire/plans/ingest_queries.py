@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import cleanup, configs, products, state
+from quire.operators import cleanup, configs, positions, products, state
 from quire.plans.sql import AT
 from quire.sources import shop
 from quire.sources.tables import table
@@ -141,9 +141,8 @@ def vector_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- products
-def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _products(part: DataFrame) -> DataFrame:
     """Parts as products in JSON: some without name, time or id, some with translations, categories and custom fields."""
-    part = table(spark, sf_dir, "part")
     key = F.col("p_partkey")
     text = lambda c: F.to_json(F.struct(c.alias("t"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("t")))) - 6)
     pieces = [
@@ -175,7 +174,8 @@ WITH {_PRODUCT}
 SELECT source_id, changed_at, p_partkey % 5 <> 0 AS active, CASE WHEN source_id <> '' AND changed_at > 0 THEN text END AS content, CASE WHEN source_id <> '' AND changed_at > 0 THEN sha256(text) END AS content_hash,
   title, 'shop' AS product_title, '["' || trim(p_type) || '","Second"]' AS category, CASE WHEN p_partkey % 2 = 0 THEN '+49 ' || p_size END AS phone, trim(p_type) AS department, CASE WHEN source_id = '' THEN 'https://shop.example/detail/' ELSE 'https://shop.example/detail/' || source_id END AS url FROM body""")
 def product_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = products.build(_products(spark, sf_dir), "https://shop.example/", "detail", ["phone", "size"], ["properties[].v", "productNumber", "nothing"], {"product_title": "shop"}, 3)
+    dealt = positions.spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "p_partkey")
+    made = products.build(_products(dealt), "https://shop.example/", "detail", ["phone", "size"], ["properties[].v", "productNumber", "nothing"], {"product_title": "shop"}, 3)
     names = ("title", "product_title", "category", "phone", "department", "url")
     return made.select("source_id", "changed_at", "active", "content", "content_hash", *[F.col("metadata")[n].alias(n) for n in names])
 
@@ -185,7 +185,7 @@ SELECT source_id AS id, title AS name, 'N-' || p_partkey AS product_number, p_pa
 FROM (SELECT p_partkey, CASE WHEN p_partkey % 50 = 7 THEN '' ELSE CAST(p_partkey AS VARCHAR) END AS source_id, CASE WHEN p_partkey % 3 = 0 THEN trim('T ' || p_name) ELSE trim(p_name) END AS title, CASE WHEN p_partkey % 40 = 3 THEN '' ELSE '2024-03-01T10:00:00.500+00:00' END AS updated FROM part WHERE p_partkey % 50 <> 7)
 ORDER BY updated, source_id LIMIT 25""")
 def product_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return products.preview(_products(spark, sf_dir).where("product NOT LIKE '{\"id\":\"\"%'"), 400)
+    return products.preview(_products(table(spark, sf_dir, "part")).where("product NOT LIKE '{\"id\":\"\"%'"), 400)
 
 
 @query(f"""
